@@ -299,3 +299,18 @@ def missingness_bias(df: DataFrame, cols: list[str] | None = None, min_abs: floa
                                                     F.col(f"r{i}").cast("double").alias("r"), F.col(f"n{i}").cast("long").alias("n"))
                                           for i, (m, c) in enumerate(pairs)])))
     return long.where(F.abs("r") > min_abs).withColumn("significant", F.lit(True))
+
+
+# ---------------------------------------------------------------- D22
+def risk_flags(df: DataFrame, target: str) -> DataFrame:
+    """Minority share (< 0.2 imbalance, < 0.1 high), overfitting risk from rows and columns,
+    recommended metric."""
+    n_cols = len(df.columns)
+    dist = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n"))
+    s = dist.agg(F.min("n").alias("mn"), F.sum("n").alias("tot")).crossJoin(df.agg(F.count(F.lit(1)).alias("rows")))
+    ratio = F.when(F.col("tot") > 0, F.col("mn") / F.col("tot")).otherwise(0.0)
+    return s.select(ratio.alias("minority_ratio"), (ratio < 0.2).alias("class_imbalance"),
+                    F.when(ratio < 0.1, "high").when(ratio < 0.2, "moderate").otherwise("low").alias("imbalance_severity"),
+                    F.when(ratio < 0.2, "F1-score").otherwise("accuracy").alias("recommended_metric"),
+                    F.col("rows").cast("long").alias("rows"), F.lit(n_cols).cast("long").alias("columns"),
+                    F.when(F.col("rows") < 1000, "high").when(F.col("rows") < 10 * n_cols, "moderate").otherwise("low").alias("overfitting_risk"))
