@@ -84,25 +84,32 @@ def exact_quantiles(long: DataFrame, probs: list[float], key: str = "column", va
 
     Returns (key, prob, quantile). Sort-based and distributed: no single-task value buffer.
     """
-    spark = long.sparkSession
     vc = long.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    return quantiles_from_counts(vc, probs, key, value, buckets)
+
+
+def quantiles_from_counts(vc: DataFrame, probs: list[float], key: str = "column", value: str = "value",
+                          buckets: int | None = None) -> DataFrame:
+    """exact_quantiles starting from a distinct-value table (key, value, n)."""
+    spark = vc.sparkSession
     cdf = running_totals(vc, [key], value, ["n"], buckets=buckets)
-    totals = cdf.groupBy(key).agg(F.max("tot_n").alias("tot"))   # one row per key
+    totals = vc.groupBy(key).agg(F.sum("n").alias("tot"))       # one row per key
     pr = spark.createDataFrame([(float(p),) for p in probs], "prob double")
     req = (totals.crossJoin(F.broadcast(pr))                     # keys x probs, bounded by the schema
            .withColumn("_h", (F.col("tot") - 1).cast("double") * F.col("prob"))
            .withColumn("_lo", F.floor("_h").cast("long"))
            .withColumn("_hi", F.ceil("_h").cast("long"))
            .withColumn("_frac", F.col("_h") - F.floor("_h")))
-    c = cdf.select(key, value, (F.col("cum_n") - F.col("n")).alias("_start"), F.col("cum_n").alias("_end"))
+    c = cdf.select(key, value, (F.col("cum_n") - F.col("n")).alias("_start"), F.col("cum_n").alias("_end")).alias("c")
     r = F.broadcast(req.alias("r"))
-    lo = c.alias("c").join(r, (F.col(f"c.{key}") == F.col(f"r.{key}")) & (F.col("c._start") <= F.col("r._lo")) & (F.col("r._lo") < F.col("c._end"))) \
-        .select(F.col(f"r.{key}").alias(key), F.col("r.prob").alias("prob"), F.col("r._frac").alias("_frac"),
-                F.col(f"c.{value}").alias("_vlo"))
-    hi = c.alias("c").join(r, (F.col(f"c.{key}") == F.col(f"r.{key}")) & (F.col("c._start") <= F.col("r._hi")) & (F.col("r._hi") < F.col("c._end"))) \
-        .select(F.col(f"r.{key}").alias(key), F.col("r.prob").alias("prob"), F.col(f"c.{value}").alias("_vhi"))
-    return lo.join(hi, [key, "prob"]).select(
-        key, "prob", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("quantile"))
+    # rows whose rank interval [start, end) overlaps [lo, hi]: at most two per request
+    j = c.join(r, (F.col(f"c.{key}") == F.col(f"r.{key}")) & (F.col("c._start") <= F.col("r._hi")) & (F.col("r._lo") < F.col("c._end")))
+    hit_lo = (F.col("c._start") <= F.col("r._lo")) & (F.col("r._lo") < F.col("c._end"))
+    hit_hi = (F.col("c._start") <= F.col("r._hi")) & (F.col("r._hi") < F.col("c._end"))
+    g = j.groupBy(F.col(f"r.{key}").alias(key), F.col("r.prob").alias("prob")).agg(
+        F.max(F.when(hit_lo, F.col(f"c.{value}"))).alias("_vlo"), F.max(F.when(hit_hi, F.col(f"c.{value}"))).alias("_vhi"),
+        F.first(F.col("r._frac")).alias("_frac"))
+    return g.select(key, "prob", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("quantile"))
 
 
 def quantiles_wide(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabvet.functions.core import NUMERIC_TYPES, categorical_cols, nan_to_null, numeric_cols, safe_div
-from tabvet.operators.colstats import column_stats
-from tabvet.operators.longform import exact_quantiles, top_k_per_key, unpivot, value_counts
+from tabvet.operators.colstats import column_stats, distinct_values
+from tabvet.operators.longform import exact_quantiles, quantiles_from_counts, top_k_per_key, unpivot, value_counts
 
 
 # ---------------------------------------------------------------- D1 / D9 / D12 / D30
@@ -28,7 +28,8 @@ def profile_columns(df: DataFrame, cols: list[str] | None = None, median: bool =
     )
     num = [c for c in cols if isinstance(df.schema[c].dataType, NUMERIC_TYPES)]
     if median and num:
-        med = exact_quantiles(unpivot(df, num), [0.5]).select("column", F.col("quantile").alias("median"))
+        vn, _ = distinct_values(df, num)
+        med = quantiles_from_counts(vn, [0.5]).select("column", F.col("quantile").alias("median"))
         out = out.join(F.broadcast(med), "column", "left")   # one row per column
     else:
         out = out.withColumn("median", F.lit(None).cast("double"))
