@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabvet.session import materialize
+
 
 def unpivot(df: DataFrame, cols: list[str], key: str = "column", value: str = "value", cast: str = "double",
             ids: list[str] | None = None, drop_nulls: bool = True) -> DataFrame:
@@ -38,7 +40,7 @@ def default_buckets(spark) -> int:
 
 
 def running_totals(vc: DataFrame, keys: list[str], order: str, weights: list[str], buckets: int | None = None,
-                   with_next: bool = False) -> DataFrame:
+                   with_next: bool = False, checkpoint: bool = True) -> DataFrame:
     """Inclusive running sums of `weights` ordered by `order` within each key.
 
     vc must hold at most one row per (keys, order) (aggregate first). Adds for each weight w:
@@ -47,6 +49,10 @@ def running_totals(vc: DataFrame, keys: list[str], order: str, weights: list[str
     """
     spark = vc.sparkSession
     nb = buckets or default_buckets(spark)
+    if checkpoint:
+        # vc feeds three branches (bounds, local sums, bucket totals): materialise it once in the
+        # shared checkpoint folder instead of recomputing the scan + aggregation per branch
+        vc = materialize(vc)
     fr = [i / nb for i in range(1, nb)]
     bounds = vc.groupBy(*keys).agg(F.percentile_approx(order, fr, 10000).alias("_bounds"))
     b = vc.join(F.broadcast(bounds), keys).withColumn(

@@ -50,3 +50,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Write `df` as Parquet into the shared checkpoint folder and read it back.
+
+    Cuts lineage for DataFrames consumed by several branches of one plan (each branch would
+    otherwise recompute the scan and shuffles), and survives executor loss (the files live in
+    the shared folder, not in executor memory).
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tabvet-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
