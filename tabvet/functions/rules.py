@@ -162,3 +162,40 @@ SENSITIVE_PATTERNS = [
     ("education", r"(?i)(education|degree|school)"),
     ("income_group", r"(?i)(income.?group|salary.?cat|wealth)"),
 ]
+
+# ---- fixed values: domain feature rules (name, required roles, description), in rule order ----
+FEATURE_RULES = [
+    ("bmi", ["weight", "height"], "Body Mass Index = weight / height^2"),
+    ("pulse_pressure", ["systolic", "diastolic"], "Pulse Pressure = Systolic - Diastolic"),
+    ("mean_arterial_pressure", ["systolic", "diastolic"], "MAP = (Systolic + 2*Diastolic) / 3"),
+    ("debt_to_income", ["debt", "income"], "Debt-to-Income Ratio = debt / income"),
+    ("savings_rate", ["savings", "income"], "Savings Rate = savings / income"),
+    ("profit_margin", ["profit", "revenue"], "Profit Margin = profit / revenue"),
+    ("conversion_rate", ["purchases", "visits"], "Conversion Rate = purchases / visits"),
+    ("avg_order_value", ["revenue", "orders"], "Average Order Value = revenue / orders"),
+    ("age_tenure_ratio", ["age", "tenure"], "Age-Tenure Ratio (career stage indicator)"),
+    ("experience_ratio", ["experience", "age"], "Experience Ratio = experience / (age - 18)"),
+]
+
+# ---- fixed values: column roles for the domain feature rules (first matching role per column) ----
+FEATURE_ROLE_PATTERNS = [
+    ("weight", r"(?i)(weight|mass|wt|kg)"),
+    ("height", r"(?i)(height|ht|cm|meters?)"),
+    ("systolic", r"(?i)(systolic|sys|sbp|systolic.?bp)"),
+    ("diastolic", r"(?i)(diastolic|dia|dbp|diastolic.?bp)"),
+    ("age", r"(?i)(age|years?|yr)"),
+    ("income", r"(?i)(income|salary|wage|earning|pay)"),
+    ("debt", r"(?i)(debt|loan|owe|liability)"),
+    ("savings", r"(?i)(saving|balance|deposit)"),
+    ("profit", r"(?i)(profit|net.?income|earnings)"),
+    ("revenue", r"(?i)(revenue|sales|gross)"),
+    ("purchases", r"(?i)(purchase|order|buy|transaction)"),
+    ("visits", r"(?i)(visit|session|view|click)"),
+    ("orders", r"(?i)(order|transaction|purchase)"),
+    ("tenure", r"(?i)(tenure|years?.?employed|service.?years?)"),
+    ("experience", r"(?i)(experience|exp|years?.?exp)"),
+]
+
+# ---- fixed values: age groups for the fairness fallback (right-closed bins) ----
+AGE_GROUP_EDGES = [0, 30, 50, 100]
+AGE_GROUP_LABELS = ["Young", "Middle", "Senior"]

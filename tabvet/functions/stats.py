@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def kolmogorov_sf(z: Column, terms: int = 100) -> Column:
@@ -125,18 +126,18 @@ def t_sf_two_sided_scalar(t: float, df: float) -> float:
     return max(0.0, min(1.0, betainc_scalar(df / 2.0, 0.5, df / (df + t * t))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_sf(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([chi2_sf_scalar(float(a), float(b)) if pd.notna(a) and pd.notna(b) else np.nan
                       for a, b in zip(x, dof)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_sf_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_sf_two_sided_scalar(float(a), float(b)) if pd.notna(a) and pd.notna(b) else np.nan
                       for a, b in zip(t, df)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def erfc_udf(x: pd.Series) -> pd.Series:
     return pd.Series([math.erfc(float(v)) if pd.notna(v) else np.nan for v in x])
