@@ -101,7 +101,7 @@ def validate_rows(df: DataFrame, constraints: DataFrame, keys: list[str], max_li
         c = F.col(name)
         if isinstance(dt, (T.StringType, T.BooleanType)):
             # non-numeric strings fail float() and are skipped by the range checks
-            num = F.try_cast(c, "double") if isinstance(dt, T.StringType) else F.lit(None).cast("double")
+            num = c.try_cast("double") if isinstance(dt, T.StringType) else F.lit(None).cast("double")
         else:
             num = c.cast("double")
         present = c.isNotNull() & ~F.isnan(num) if not isinstance(dt, (T.StringType, T.BooleanType)) else c.isNotNull()
