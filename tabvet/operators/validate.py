@@ -177,16 +177,18 @@ def review_gate(df: DataFrame, flag_col: str, threshold: float = 0.2) -> DataFra
 
 
 # ------------------------------------------------------------------ B10
-def stratified_sample(df: DataFrame, strata: list[str], fraction: float, order: Column,
-                      n_buckets: int = 1024) -> DataFrame:
-    """Exactly round(fraction * n_s) rows of every stratum s: the rows with the smallest
-    `order` values (a deterministic hash, e.g. `xxhash64(key, seed)`; ties by the same value).
+def stratified_flag(df: DataFrame, strata: list[str], fraction: float, order: Column, flag: str = "_in_sample",
+                    n_buckets: int = 1024) -> DataFrame:
+    """Every row of `df` plus a boolean `flag` that is true for exactly round(fraction * n_s) rows
+    of every stratum s: the rows with the smallest `order` values (a deterministic hash, e.g.
+    `xxhash64(key, seed)`; ties by the remaining columns).
 
     No window spans a whole stratum: `order` is bucketed, a partial-aggregated histogram per
-    (stratum, bucket) finds the bucket where each stratum's quota is crossed, all rows below
-    that bucket are kept outright, and only the boundary bucket (about 1/n_buckets of the
+    (stratum, bucket) finds the bucket where each stratum's quota is crossed, rows below that
+    bucket are flagged outright, and only the boundary bucket (about 1/n_buckets of the
     stratum) is ranked with a window. A hot stratum therefore costs one bucket-sized sort.
     """
+    from pyspark.sql.window import Window
     o = df.withColumn("_o", order)
     rng = o.agg(F.min("_o").alias("lo"), F.max("_o").alias("hi"))
     width = (F.col("hi").cast("double") - F.col("lo").cast("double") + 1.0) / n_buckets
@@ -195,16 +197,21 @@ def stratified_sample(df: DataFrame, strata: list[str], fraction: float, order:
     ob = o.crossJoin(F.broadcast(rng)).withColumn("_b", b).drop("lo", "hi")   # one-row broadcast
     hist = ob.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"))
     tot = hist.groupBy(*strata).agg(F.sum("_n").alias("_tot"))
-    from pyspark.sql.window import Window
     w = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # histogram rows are (strata x n_buckets) at most: the window is over counts, not rows
     cum = hist.join(tot, strata).withColumn("_cum", F.sum("_n").over(w)).withColumn(
         "_quota", F.round(F.col("_tot") * F.lit(fraction)).cast("long"))
     edge = cum.where((F.col("_cum") >= F.col("_quota")) & (F.col("_cum") - F.col("_n") < F.col("_quota"))).select(
         *strata, F.col("_b").alias("_edge"), (F.col("_quota") - (F.col("_cum") - F.col("_n"))).alias("_need"))
-    j = ob.join(edge, strata)          # strata-sized; AQE broadcasts it when small
-    below = j.where(F.col("_b") < F.col("_edge"))
-    at = j.where(F.col("_b") == F.col("_edge"))
+    j = ob.join(edge, strata, "left")          # strata-sized; AQE broadcasts it when small
+    at_edge = F.col("_edge").isNotNull() & (F.col("_b") == F.col("_edge"))
+    rest = j.where(~at_edge).withColumn(flag, F.coalesce(F.col("_b") < F.col("_edge"), F.lit(False)))
     rk = Window.partitionBy(*strata).orderBy("_o", *[c for c in df.columns if c not in strata])
-    at = at.withColumn("_r", F.row_number().over(rk)).where(F.col("_r") <= F.col("_need")).drop("_r")
-    return below.unionByName(at).select(*df.columns)
+    at = j.where(at_edge).withColumn(flag, F.row_number().over(rk) <= F.col("_need"))
+    return rest.unionByName(at).select(*df.columns, flag)
+
+
+def stratified_sample(df: DataFrame, strata: list[str], fraction: float, order: Column,
+                      n_buckets: int = 1024) -> DataFrame:
+    """Exactly round(fraction * n_s) rows of every stratum (see `stratified_flag`)."""
+    return stratified_flag(df, strata, fraction, order, "_in_sample", n_buckets).where("_in_sample").drop("_in_sample")
