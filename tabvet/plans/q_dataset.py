@@ -144,3 +144,8 @@ UNION ALL SELECT 'flag_noisy', 4, 'deterministic mapping to target', 'purity=' |
 @query("d33_leakage_mapping", LEAK_CLASS_SQL)
 def d33_leakage_mapping(spark, d):
     return leakage(_leak_class_input(spark, d), "l_returnflag")
+
+
+@query("d32_leakage_correlation", f"SELECT * FROM ({LEAK_NUM_SQL}) WHERE reason = 'near-perfect correlation with target'")
+def d32_leakage_correlation(spark, d):
+    return leakage(_leak_numeric_input(spark, d), "l_extendedprice").where(F.col("reason") == "near-perfect correlation with target")
