@@ -70,6 +70,13 @@ def imputation_report(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ E3
+def _greatest(cols):
+    """`greatest` that also accepts zero or one column."""
+    if not cols:
+        return F.lit(0.0)
+    return cols[0] if len(cols) == 1 else F.greatest(*cols)
+
+
 def _bayesian_ridge(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float, max_iter: int = 300, tol: float = 1e-3):
     """Bayesian ridge on centred Gram statistics (evidence maximisation from the eigenvalues of
     XᵀX, as scikit-learn's BayesianRidge with its default gamma priors of 1e-6)."""
@@ -120,7 +127,7 @@ def impute_iterative(df: DataFrame, cols: list[str] | None = None, max_iter: int
     cur = base.select(*key_cols, *[F.coalesce(F.col(c), F.lit(float(fills[c] or 0.0))).alias(c) for c in cols],
                       *[miss[c] for c in cols])
     cur = materialize(cur)
-    xmax = cur.agg(F.max(F.greatest(*[F.abs(F.col(c)) for c in cols])).alias("m")).first()["m"] or 1.0
+    xmax = cur.agg(F.max(_greatest([F.abs(F.col(c)) for c in cols])).alias("m")).first()["m"] or 1.0
     for _ in range(max_iter):
         aggs = []
         for t in targets:
@@ -155,8 +162,8 @@ def impute_iterative(df: DataFrame, cols: list[str] | None = None, max_iter: int
             preds[t] = expr
         nxt = cur.select(*key_cols, *[F.when(miss[c], preds[c]).otherwise(F.col(c)).alias(c) if c in preds else F.col(c)
                                       for c in cols], *[miss[c] for c in cols],
-                         F.greatest(*[F.when(miss[c], F.abs(preds[c] - F.col(c))).otherwise(F.lit(0.0))
-                                      for c in preds] or [F.lit(0.0)]).alias("_delta"))
+                         _greatest([F.when(miss[c], F.abs(preds[c] - F.col(c))).otherwise(F.lit(0.0))
+                                    for c in preds]).alias("_delta"))
         nxt = materialize(nxt)
         delta = nxt.agg(F.max("_delta")).first()[0] or 0.0
         cur = nxt.drop("_delta")

@@ -38,17 +38,25 @@ def get_spark(master: str | None = None, app: str = "tabvet", shuffle_partitions
     return spark
 
 
+_LOCAL_CKPT: str | None = None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (`spark.checkpoint.dir`).
 
     Only when the setting is absent (local tests) a fresh scratch folder is created and
     registered, so lineage cuts never land on a machine-local path on a cluster.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    global _LOCAL_CKPT
+    d = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_CKPT
     if not d:
-        d = tempfile.mkdtemp(prefix="tabvet-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        d = _LOCAL_CKPT = tempfile.mkdtemp(prefix="tabvet-ckpt-", dir="/tmp")
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # core conf not settable at runtime; the module keeps it for this process
+            pass
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
