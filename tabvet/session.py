@@ -6,6 +6,7 @@ On a cluster the session is created by the platform; operators only read its set
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -39,22 +40,21 @@ def get_spark(master: str | None = None, app: str = "tabvet", shuffle_partitions
 
 
 _LOCAL_CKPT: str | None = None
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster (`spark.checkpoint.dir`).
+    """Shared folder for intermediate tables: `spark.checkpoint.dir`, else the context's checkpoint folder.
 
-    Only when the setting is absent (local tests) a fresh scratch folder is created and
-    registered, so lineage cuts never land on a machine-local path on a cluster.
+    With neither, a local master gets a fresh scratch folder (tests, bench); a cluster gets an error, because a
+    machine-local folder there is not visible to the other executors.
     """
     global _LOCAL_CKPT
-    d = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_CKPT
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _LOCAL_CKPT
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = _LOCAL_CKPT = tempfile.mkdtemp(prefix="tabvet-ckpt-", dir="/tmp")
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # core conf not settable at runtime; the module keeps it for this process
-            pass
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
@@ -65,11 +65,39 @@ def materialize(df):
 
     Cuts lineage for DataFrames consumed by several branches of one plan (each branch would
     otherwise recompute the scan and shuffles), and survives executor loss (the files live in
-    the shared folder, not in executor memory).
+    the shared folder, not in executor memory). The table is deleted when the driver exits, or
+    earlier by `release`.
     """
     import uuid
 
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tabvet-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if not _WRITTEN:
+        atexit.register(_delete_all)
+    _WRITTEN.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tabvet_path = path
+    return out
+
+
+def release(df) -> None:
+    """Delete the table behind a frame returned by `materialize` that nothing reads any more."""
+    path = getattr(df, "_tabvet_path", None)
+    for item in [x for x in _WRITTEN if x[1] == path]:
+        _WRITTEN.remove(item)
+        _delete(*item)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _delete_all() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            _delete(spark, path)
+        except Exception:  # the JVM may have ended first
+            return
