@@ -1,8 +1,10 @@
 """Registered queries of the training-data operators and their DuckDB twins where SQL can express them."""
 
 from tabvet.llm.exact_dedup import OP5_SQL, op5
+from tabvet.llm.mix import op1
 
 QUERIES = {
+    "op1_mix_sources": op1,
     "op5_exact_dedup": op5,
 }
 
