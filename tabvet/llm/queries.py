@@ -1,10 +1,16 @@
 """Registered queries of the training-data operators and their DuckDB twins where SQL can express them."""
 
+from tabvet.llm.bpe import op2
 from tabvet.llm.exact_dedup import OP5_SQL, op5
 from tabvet.llm.mix import op1
+from tabvet.llm.token_counts import op4
+from tabvet.llm.url_filter import op3
 
 QUERIES = {
     "op1_mix_sources": op1,
+    "op2_bpe": op2,
+    "op3_url_filter": op3,
+    "op4_token_counts": op4,
     "op5_exact_dedup": op5,
 }
 
