@@ -2,7 +2,10 @@
 
 from tabvet.llm.bpe import op2
 from tabvet.llm.exact_dedup import OP5_SQL, op5
+from tabvet.llm.html_text import op6
+from tabvet.llm.language import op8
 from tabvet.llm.mix import op1
+from tabvet.llm.quality import op7
 from tabvet.llm.token_counts import op4
 from tabvet.llm.url_filter import op3
 
@@ -12,6 +15,9 @@ QUERIES = {
     "op3_url_filter": op3,
     "op4_token_counts": op4,
     "op5_exact_dedup": op5,
+    "op6_html_text": op6,
+    "op7_quality": op7,
+    "op8_language": op8,
 }
 
 ORACLE_SQL = {
