@@ -3,6 +3,7 @@
 from tabvet.llm.bpe import op2
 from tabvet.llm.exact_dedup import OP5_SQL, op5
 from tabvet.llm.html_text import op6
+from tabvet.llm.jaccard_join import op9
 from tabvet.llm.language import op8
 from tabvet.llm.mix import op1
 from tabvet.llm.quality import op7
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_html_text": op6,
     "op7_quality": op7,
     "op8_language": op8,
+    "op9_jaccard_join": op9,
 }
 
 ORACLE_SQL = {
