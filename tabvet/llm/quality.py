@@ -158,5 +158,22 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     return scored.select("doc_id", held_out, "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) whose text scores at least `threshold`, all columns as they are."""
+    table = materialize(feature_table(docs))
+    bins, w, prior = fit(table, labels.select(F.col("doc_id").cast("long"), "quality"))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.full(batch.num_rows, prior >= threshold)
+            if bins is not None and batch.num_rows:
+                rows = np.stack([features(t.as_py() or "") for t in batch.column(at)])
+                good = 1 / (1 + np.exp(-(w[bins.index(rows)].sum(axis=1) + w[-1]))) >= threshold
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

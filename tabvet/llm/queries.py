@@ -9,6 +9,7 @@ from tabvet.llm.mix import op1
 from tabvet.llm.quality import op7
 from tabvet.llm.token_counts import op4
 from tabvet.llm.url_filter import op3
+from tabvet.llm.vector_search import op10
 
 QUERIES = {
     "op1_mix_sources": op1,
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_quality": op7,
     "op8_language": op8,
     "op9_jaccard_join": op9,
+    "op10_vector_search": op10,
 }
 
 ORACLE_SQL = {
