@@ -254,14 +254,20 @@ def missing_columns(ref: DataFrame, cur: DataFrame) -> DataFrame:
     return a.join(b, "column", "left_anti")
 
 
-def should_retrain(metrics: DataFrame, error_rate: str = "error_rate", drift: str = "drift_score",
-                   acc_drop: str = "accuracy_drop", age_days: str = "age_days") -> DataFrame:
-    """Retrain if error > 0.1, drift > 0.3, accuracy drop > 0.15 or model age > 30 days."""
+def percent(x: Column) -> Column:
+    """A share as a per cent text with two decimals."""
+    return F.concat(F.format_string("%.2f", x * 100), F.lit("%"))
+
+
+def should_retrain(metrics: DataFrame, error_rate: str = "error_rate", drift: str = "drift_score", baseline: str = "baseline_accuracy",
+                   current: str = "current_accuracy", age_days: str = "age_days") -> DataFrame:
+    """Retrain if error > 0.1, drift > 0.3, accuracy drop > 0.15 or model age > 30 days; the reasons give the values."""
+    drop = F.col(baseline) - F.col(current)
     reasons = F.concat_ws("; ",
-                          F.when(F.col(error_rate) > 0.1, F.lit("high error rate")),
-                          F.when(F.col(drift) > 0.3, F.lit("data drift")),
-                          F.when(F.col(acc_drop) > 0.15, F.lit("accuracy drop")),
-                          F.when(F.col(age_days) > 30, F.lit("model age")))
+                          F.when(F.col(error_rate) > 0.1, F.concat(F.lit("High error rate: "), percent(F.col(error_rate)))),
+                          F.when(F.col(drift) > 0.3, F.concat(F.lit("Data drift detected: "), F.format_string("%.3f", F.col(drift)))),
+                          F.when(drop > 0.15, F.concat(F.lit("Performance drop: "), percent(F.col(baseline)), F.lit(" → "), percent(F.col(current)))),
+                          F.when(F.col(age_days) > 30, F.concat(F.lit("Model age: "), F.col(age_days).cast("string"), F.lit(" days"))))
     return metrics.withColumn("reasons", reasons).withColumn("retrain", F.col("reasons") != "")
 
 

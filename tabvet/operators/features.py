@@ -183,83 +183,72 @@ def _finite(e: Column) -> Column:
     return F.when(~F.isnan(e) & (F.abs(e) != F.lit(float("inf"))), e)
 
 
-def _rule_expr(rule: str, c: dict[str, str]) -> Column:
-    g = {k: _dbl(v) for k, v in c.items()}
-    if rule == "bmi":
-        return g["weight"] / (g["height"] * g["height"])
-    if rule == "pulse_pressure":
-        return g["systolic"] - g["diastolic"]
-    if rule == "mean_arterial_pressure":
-        return (g["systolic"] + 2 * g["diastolic"]) / 3
-    if rule == "debt_to_income":
-        return _ratio_null(g["debt"], g["income"])
-    if rule == "savings_rate":
-        return _ratio_null(g["savings"], g["income"])
-    if rule == "profit_margin":
-        return _ratio_null(g["profit"], g["revenue"])
-    if rule == "conversion_rate":
-        return _ratio_null(g["purchases"], g["visits"])
-    if rule == "avg_order_value":
-        return _ratio_null(g["revenue"], g["orders"])
-    if rule == "age_tenure_ratio":
-        return _ratio_null(g["age"], g["tenure"])
-    if rule == "experience_ratio":
-        return _ratio_null(g["experience"], g["age"] - 18)
-    raise KeyError(rule)
+#: rule -> expression over the columns of its roles; names, roles and descriptions are fixed values in rules.py
+DOMAIN_FORMULAS = {
+    "bmi": lambda weight, height: weight / (height * height),
+    "pulse_pressure": lambda systolic, diastolic: systolic - diastolic,
+    "mean_arterial_pressure": lambda systolic, diastolic: (systolic + 2 * diastolic) / 3,
+    "experience_ratio": lambda experience, age: _ratio_null(experience, age - 18),
+}
 
 
 def column_roles(columns: list[str]) -> dict[str, str]:
-    """Role -> first column whose first matching role pattern is that role."""
-    roles: dict[str, str] = {}
-    for col in columns:
-        for role, pat in R.FEATURE_ROLE_PATTERNS:
-            if re.search(pat, col):
-                roles.setdefault(role, col)
-                break
-    return roles
-
-
-def agentic_features(df: DataFrame, max_features: int = 20, corr_cols: int = 10,
-                     min_abs_corr: float = 0.5) -> tuple[DataFrame, list[tuple[str, str, str, Column]]]:
-    """F8 + F9: domain formulas on role-matched columns (inf -> NULL); when none applies,
-    generic squares / log1p / products / ratios of the leading numeric columns; then ratios of
-    correlated pairs (|r| >= 0.5) while fewer than `max_features` exist. Returns the enhanced
-    frame and the list (name, formula, sources, expr)."""
-    roles = column_roles(df.columns)
+    """Role -> the first column that takes it; a column takes the first role whose pattern it matches."""
+    taken = {c: next((role for role, pattern in R.FEATURE_ROLE_PATTERNS if re.search(pattern, c)), None) for c in columns}
+    return {role: c for c, role in reversed(taken.items()) if role}
+
+
+def _feature(name: str, formula: str, sources: list[str], expr: Column) -> tuple[str, str, str, Column]:
+    return f"feat_{name}", formula, ", ".join(sources), _finite(expr)
+
+
+def domain_rules(columns: list[str]):
+    """Features of the domain rules whose roles the columns fill; rules without a formula of their own are ratios."""
+    roles = column_roles(columns)
+    for rule, needed, description in R.FEATURE_RULES:
+        if set(needed) <= set(roles):
+            sources = [roles[r] for r in needed]
+            yield _feature(rule, description, sources, DOMAIN_FORMULAS.get(rule, _ratio_null)(*map(_dbl, sources)))
+
+
+def generic_rules(columns: list[str], least: dict[str, float], least_abs: dict[str, float]):
+    """Squares, log1p of positive columns, products and ratios by columns without zero, over all columns and pairs."""
+    positive = {c for c in columns if least[c] is not None and least[c] > 0}
+    nonzero = {c for c in columns if least_abs[c] is not None and least_abs[c] > 0}
+    for c in columns:
+        yield _feature(f"{c}_squared", f"{c}^2", [c], _dbl(c) * _dbl(c))
+    for c in filter(positive.__contains__, columns):
+        yield _feature(f"log_{c}", f"log({c}+1)", [c], F.log1p(_dbl(c)))
+    for a, b in combinations(columns, 2):
+        yield _feature(f"{a}_x_{b}", f"{a} * {b}", [a, b], _dbl(a) * _dbl(b))
+        if b in nonzero:
+            yield _feature(f"{a}_div_{b}", f"{a} / {b}", [a, b], _dbl(a) / _dbl(b))
+
+
+def correlated_rules(pairs, r: dict, min_abs_corr: float):
+    """Ratios of the pairs whose correlation is strong enough."""
+    for a, b in pairs:
+        if r[a, b] is not None and abs(r[a, b]) >= min_abs_corr:
+            yield _feature(f"{a}_div_{b}", f"{a} / {b} (correlation: {r[a, b]:.2f})", [a, b], _ratio_null(_dbl(a), _dbl(b)))
+
+
+def rule_features(df: DataFrame, min_abs_corr: float = 0.5, limit: int | None = None) -> tuple[DataFrame, list[tuple[str, str, str, Column]]]:
+    """F8 + F9: domain features, or generic ones where no domain rule applies, then ratios of correlated pairs.
+
+    Values that are not finite become NULL. All columns and pairs take part; `limit` (default none) bounds the number
+    of features. Returns the enhanced frame and the list (name, formula, sources, expr)."""
     num = numeric_cols(df)
-    feats: list[tuple[str, str, str, Column]] = []
-    for rule, req, desc in R.FEATURE_RULES:
-        if all(x in roles for x in req):
-            m = {x: roles[x] for x in req}
-            feats.append((f"feat_{rule}", desc, ", ".join(m.values()), _finite(_rule_expr(rule, m))))
-    if not feats and len(num) >= 2:
-        top = num[:min(5, len(num))]
-        pairs = [(num[i], num[j]) for i in range(min(3, len(num))) for j in range(i + 1, min(4, len(num)))]
-        st = df.agg(*[F.min(_dbl(c)).alias(f"mn__{c}") for c in top],
-                    *[F.min(F.abs(_dbl(b))).alias(f"ab__{b}") for _, b in pairs]).first()
-        for c in top:
-            feats.append((f"feat_{c[:10]}_squared", f"{c}^2", c, _dbl(c) * _dbl(c)))
-            if st[f"mn__{c}"] is not None and st[f"mn__{c}"] > 0:
-                feats.append((f"feat_log_{c[:10]}", f"log({c}+1)", c, F.log1p(_dbl(c))))
-        for a, b in pairs:
-            feats.append((f"feat_{a[:8]}_x_{b[:8]}", f"{a} * {b}", f"{a}, {b}", _finite(_dbl(a) * _dbl(b))))
-            if st[f"ab__{b}"] is not None and st[f"ab__{b}"] > 0:
-                feats.append((f"feat_{a[:8]}_div_{b[:8]}", f"{a} / {b}", f"{a}, {b}", _finite(_dbl(a) / _dbl(b))))
-    if len(num) >= 2 and 0 < len(feats) < max_features:
-        lead = num[:corr_cols]
-        pairs = [(a, b) for i, a in enumerate(lead) for b in lead[i + 1:]]
-        r = df.agg(*[F.corr(_dbl(a), _dbl(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first()
-        names = {f[0] for f in feats}
-        for i, (a, b) in enumerate(pairs):
-            name = f"feat_{a[:8]}_div_{b[:8]}"
-            if name in names:
-                continue
-            cr = r[f"{i}"]
-            if cr is not None and abs(cr) >= min_abs_corr:
-                feats.append((name, f"{a} / {b} (correlation: {cr:.2f})", f"{a}, {b}", _finite(_ratio_null(_dbl(a), _dbl(b)))))
-                names.add(name)
-                if len(feats) >= max_features:
-                    break
+    found = {f[0]: f for f in domain_rules(df.columns)}
+    pairs = list(combinations(num, 2))
+    if not found and pairs:
+        st = df.agg(*[F.min(_dbl(c)).alias(f"m{i}") for i, c in enumerate(num)],
+                    *[F.min(F.abs(_dbl(c))).alias(f"a{i}") for i, c in enumerate(num)]).first()
+        found = {f[0]: f for f in generic_rules(num, {c: st[f"m{i}"] for i, c in enumerate(num)}, {c: st[f"a{i}"] for i, c in enumerate(num)})}
+    if pairs:
+        r = df.agg(*[F.corr(_dbl(a), _dbl(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
+        for f in correlated_rules(pairs, dict(zip(pairs, r)), min_abs_corr):
+            found.setdefault(f[0], f)
+    feats = list(found.values())[:limit]
     return df.select("*", *[e.alias(n) for n, _, _, e in feats]), feats
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabvet.operators.drift import percent
+
 SEVERITY_ORDER = {"CRITICAL": 0, "WARNING": 1, "INFO": 2}
 
 
@@ -89,8 +91,8 @@ def metric_trend(history: DataFrame, key: str = "model", ts: str = "ts", metric:
 
 
 def threshold_alerts(metrics: DataFrame, key: str = "model", ts: str = "ts", error_rate: str = "error_rate",
-                     drift: str = "drift_score", acc_drop: str = "accuracy_drop", age_days: str = "age_days",
-                     thresholds: dict | None = None) -> DataFrame:
+                     drift: str = "drift_score", baseline: str = "baseline_accuracy", current: str = "current_accuracy",
+                     age_days: str = "age_days", thresholds: dict | None = None) -> DataFrame:
     """Rule table -> alert rows (type, severity, message, value) via array(when(struct)) + explode."""
     t = {"error_rate": 0.05, "drift": 0.3, "drift_critical": 0.5, "performance_drop": 0.1, "model_age_days": 30}
     t.update(thresholds or {})
@@ -99,18 +101,15 @@ def threshold_alerts(metrics: DataFrame, key: str = "model", ts: str = "ts", err
         return F.when(cond, F.struct(F.lit(typ).alias("alert_type"), sev.alias("severity"), msg.alias("message"),
                                      val.cast("double").alias("value")))
 
-    def num(c: Column, digits: int) -> Column:
-        return F.round(c.cast("double"), digits).cast("string")
-
+    drop = F.col(baseline) - F.col(current)
     rules = F.array(
         alert(F.col(error_rate) > t["error_rate"], "high_error_rate", F.lit("CRITICAL"),
-              F.concat(F.lit("Error rate "), num(F.col(error_rate) * 100, 2), F.lit("% exceeds threshold "),
-                       num(F.lit(t["error_rate"] * 100), 2), F.lit("%")), F.col(error_rate)),
+              F.concat(F.lit("Error rate "), percent(F.col(error_rate)), F.lit(" exceeds threshold "), percent(F.lit(t["error_rate"]))), F.col(error_rate)),
         alert(F.col(drift) > t["drift"], "data_drift",
               F.when(F.col(drift) > t["drift_critical"], "CRITICAL").otherwise("WARNING"),
-              F.concat(F.lit("Data drift detected (score: "), num(F.col(drift), 3), F.lit(")")), F.col(drift)),
-        alert(F.col(acc_drop) > t["performance_drop"], "performance_degradation", F.lit("WARNING"),
-              F.concat(F.lit("Accuracy dropped by "), num(F.col(acc_drop) * 100, 2), F.lit("%")), F.col(acc_drop)),
+              F.concat(F.lit("Data drift detected (score: "), F.format_string("%.3f", F.col(drift)), F.lit(")")), F.col(drift)),
+        alert(drop > t["performance_drop"], "performance_degradation", F.lit("WARNING"),
+              F.concat(F.lit("Accuracy dropped from "), percent(F.col(baseline)), F.lit(" to "), percent(F.col(current))), drop),
         alert(F.col(age_days) > t["model_age_days"], "model_staleness", F.lit("INFO"),
               F.concat(F.lit("Model is "), F.col(age_days).cast("int").cast("string"), F.lit(" days old (threshold: "),
                        F.lit(str(int(t["model_age_days"]))), F.lit(" days)")), F.col(age_days)),

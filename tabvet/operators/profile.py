@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabvet.functions.core import NUMERIC_TYPES, categorical_cols, nan_to_null, numeric_cols, safe_div
 from tabvet.operators.colstats import column_stats, distinct_values
+from tabvet.functions.stats import chi2_sf, t_sf_two_sided
 from tabvet.operators.longform import exact_quantiles, quantiles_from_counts, top_k_per_key, unpivot, value_counts
 
 
@@ -195,15 +196,15 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None, chunk: int
     return out
 
 
-def correlation_hypotheses(df: DataFrame, cols: list[str] | None = None, min_abs: float = 0.3, k: int = 20) -> DataFrame:
-    """Pairs with |r| >= 0.3, strength (strong >= 0.7, moderate >= 0.5, weak), direction, top k by |r|."""
+def correlation_hypotheses(df: DataFrame, cols: list[str] | None = None, min_abs: float = 0.3, k: int | None = None) -> DataFrame:
+    """Pairs with |r| >= 0.3, strength (strong >= 0.7, moderate >= 0.5, weak) and direction; all pairs, or the top k by |r|."""
     cm = correlation_matrix(df, cols).where(F.abs("r") >= min_abs)
     ar = F.abs("r")
-    return cm.select("a", "b", "r",
+    out = cm.select("a", "b", "r",
                      F.when(ar >= 0.7, "strong").when(ar >= 0.5, "moderate").otherwise("weak").alias("strength"),
                      F.when(F.col("r") > 0, "positive").otherwise("negative").alias("direction"),
-                     F.when(ar >= 0.7, "high").when(ar >= 0.5, "medium").otherwise("low").alias("priority")) \
-        .orderBy(F.desc(F.abs("r")), "a", "b").limit(k)
+                     F.when(ar >= 0.7, "high").when(ar >= 0.5, "medium").otherwise("low").alias("priority"))
+    return out if k is None else out.orderBy(F.desc(F.abs("r")), "a", "b").limit(k)
 
 
 def target_correlations(df: DataFrame, target: str, cols: list[str] | None = None, min_abs: float = 0.2) -> DataFrame:
@@ -215,7 +216,7 @@ def target_correlations(df: DataFrame, target: str, cols: list[str] | None = Non
                                            for i, c in enumerate(cols)])))
     ar = F.abs("r")
     return long.where(ar >= min_abs).select(
-        "feature", "r", F.when(ar >= 0.7, "High").when(ar >= 0.4, "Medium").otherwise("Low").alias("strength"))
+        "feature", "r", F.when(ar >= 0.5, "High").when(ar >= 0.3, "Medium").otherwise("Low").alias("strength"))
 
 
 def mean_abs_correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -260,46 +261,84 @@ def quality_score_linear(df: DataFrame) -> DataFrame:
     dp = duplicate_rows(df).select("duplicate_pct")
     s = F.greatest(F.lit(0.0), F.lit(100.0) - 0.5 * F.col("missing_pct") - 0.5 * F.col("duplicate_pct"))
     return mt.crossJoin(dp).select("missing_pct", "duplicate_pct", s.cast("double").alias("score")).withColumn(
-        "level", F.when(F.col("score") >= 90, "excellent").when(F.col("score") >= 75, "good")
-        .when(F.col("score") >= 60, "fair").otherwise("poor"))
+        "level", F.when(F.col("score") >= 90, "excellent").when(F.col("score") >= 80, "good")
+        .when(F.col("score") >= 70, "fair").otherwise("poor"))
 
 
 # ---------------------------------------------------------------- D25 / D24
+def chi_square(cells: DataFrame, keys: list[str], a: str, b: str, o: str = "o") -> DataFrame:
+    """Chi-square, dof, n, Cramer's V and p per `keys` from observed cell counts (zero cells left out).
+
+    sum over all cells of (o-e)^2/e = sum over observed cells of o^2/e - n, so no zero-filled grid is needed. At
+    dof 1 all four deviations are equal and Yates' correction takes min(0.5, deviation) off them. Counts become
+    doubles before they are multiplied.
+    """
+    cells = cells.withColumn("_o", F.col(o).cast("double"))
+    ra = cells.groupBy(*keys, a).agg(F.sum("_o").alias("_ra"))
+    cb = cells.groupBy(*keys, b).agg(F.sum("_o").alias("_cb"))
+    rows = ra.groupBy(*keys).agg(F.sum("_ra").alias("_n"), F.count(F.lit(1)).alias("_r"), F.sum(1 / F.col("_ra")).alias("_ia"))
+    cols = cb.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"), F.sum(1 / F.col("_cb")).alias("_ib"))
+    n = rows.join(cols, keys) if keys else rows.crossJoin(cols)     # one row per key
+    j = cells.join(ra, [*keys, a]).join(cb, [*keys, b])
+    j = j.join(n, keys) if keys else j.crossJoin(n)
+    dev = F.abs(F.col("_o") - F.col("_ra") * F.col("_cb") / F.col("_n"))
+    g = j.groupBy(*keys).agg(F.sum(F.col("_o") / F.col("_ra") * F.col("_o") / F.col("_cb")).alias("_s"), F.max(dev).alias("_dev"),
+                             *[F.first(c).alias(c) for c in ("_n", "_r", "_c", "_ia", "_ib")])
+    dof = (F.col("_r") - 1) * (F.col("_c") - 1)
+    plain = F.col("_n") * (F.col("_s") - 1)
+    yates = F.pow(F.col("_dev") - F.least(F.lit(0.5), F.col("_dev")), 2) * F.col("_n") * F.col("_ia") * F.col("_ib")
+    g = g.withColumn("chi2", F.when(dof == 1, yates).otherwise(plain)).withColumn("dof", dof.cast("long"))
+    k = F.least("_r", "_c") - 1
+    return g.select(*keys, "chi2", "dof", F.col("_n").cast("long").alias("n"),
+                    F.when(k > 0, F.sqrt(F.greatest(F.col("chi2"), F.lit(0.0)) / (F.col("_n") * k))).alias("cramers_v"),
+                    F.when(F.col("dof") > 0, chi2_sf(F.col("chi2"), F.col("dof").cast("double"))).alias("p_value"))
+
+
 def crosstab_stats(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Chi-square, dof and Cramer's V of a contingency table (zero cells included).
+    """Chi-square (Yates at dof 1), dof, n, Cramer's V and p of a contingency table, zero cells included."""
+    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")) \
+        .agg(F.count(F.lit(1)).alias("o"))
+    return chi_square(cells, [], "_a", "_b").select("chi2", "dof", "n", "cramers_v", "p_value")
 
-    sum over all cells of (o-e)^2/e = sum over observed cells of o^2/e - n (zero cells add e,
-    which the identity accounts for), so no zero-filled grid needs to be materialised.
+
+def missingness_bias(df: DataFrame, cols: list[str] | None = None, min_effect: float = 0.3, alpha: float = 0.05) -> DataFrame:
+    """Does the absence of a column go with the values of another one?
+
+    Numeric columns: r with the null indicator (more than 10 values); string columns: Cramer's V of the indicator's
+    contingency table. Kept are effects above `min_effect` with p below `alpha`; above 0.5 they are CRITICAL.
     """
-    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
-    ra = cells.groupBy(a).agg(F.sum("o").alias("ra"))
-    cb = cells.groupBy(b).agg(F.sum("o").alias("cb"))
-    n = cells.agg(F.sum("o").alias("n"), F.countDistinct(a).alias("r"), F.countDistinct(b).alias("c"))
-    j = cells.join(ra, a).join(cb, b).crossJoin(n)
-    s = j.agg(F.sum(F.col("o") * F.col("o") * F.col("n") / (F.col("ra") * F.col("cb"))).alias("s"),
-              F.first("n").alias("n"), F.first("r").alias("r"), F.first("c").alias("c"))
-    chi2 = F.col("s") - F.col("n")
-    k = F.least(F.col("r"), F.col("c")) - 1
-    return s.select(chi2.cast("double").alias("chi2"), ((F.col("r") - 1) * (F.col("c") - 1)).cast("long").alias("dof"),
-                    F.col("n").cast("long").alias("n"),
-                    F.when(k > 0, F.sqrt(chi2 / (F.col("n") * k))).cast("double").alias("cramers_v"))
-
-
-def missingness_bias(df: DataFrame, cols: list[str] | None = None, min_abs: float = 0.3) -> DataFrame:
-    """D24 (numeric part): r between each column's null indicator and every other numeric column."""
     cols = cols or df.columns
     num = numeric_cols(df)
+    text = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     st = df.agg(*[F.sum(F.col(c).isNull().cast("int")).alias(c) for c in cols]).first()
     incomplete = [c for c in cols if st[c] and st[c] > 0]
+    parts = []
     pairs = [(m, c) for m in incomplete for c in num if c != m]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "missing_col string, other_col string, r double, n long, significant boolean")
-    wide = df.agg(*[F.corr(F.col(m).isNull().cast("double"), nan_to_null(F.col(c))).alias(f"r{i}") for i, (m, c) in enumerate(pairs)],
-                  *[F.count(nan_to_null(F.col(c))).alias(f"n{i}") for i, (m, c) in enumerate(pairs)])
-    long = wide.select(F.inline(F.array(*[F.struct(F.lit(m).alias("missing_col"), F.lit(c).alias("other_col"),
-                                                    F.col(f"r{i}").cast("double").alias("r"), F.col(f"n{i}").cast("long").alias("n"))
-                                          for i, (m, c) in enumerate(pairs)])))
-    return long.where(F.abs("r") > min_abs).withColumn("significant", F.lit(True))
+    if pairs:
+        wide = df.agg(*[F.corr(F.col(m).isNull().cast("double"), nan_to_null(F.col(c))).alias(f"r{i}") for i, (m, c) in enumerate(pairs)],
+                      *[F.count(nan_to_null(F.col(c))).alias(f"n{i}") for i, (m, c) in enumerate(pairs)])
+        long = wide.select(F.inline(F.array(*[F.struct(F.lit(m).alias("missing_col"), F.lit(c).alias("other_col"),
+                                                       F.col(f"r{i}").cast("double").alias("effect"), F.col(f"n{i}").cast("long").alias("n"))
+                                              for i, (m, c) in enumerate(pairs)]))).where("n > 10")
+        t = F.col("effect") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("effect") * F.col("effect"), F.lit(1e-300)))
+        parts.append(long.withColumn("p_value", t_sf_two_sided(t, (F.col("n") - 2).cast("double"))).withColumn("kind", F.lit("numeric")))
+    for m in incomplete:
+        others = [c for c in text if c != m]
+        if others:
+            flagged = df.select(F.col(m).isNull().alias("_missing"), *others)
+            cells = flagged.unpivot(["_missing"], others, "other_col", "_value").where("_value is not null") \
+                .groupBy("other_col", "_missing", "_value").agg(F.count(F.lit(1)).alias("o"))
+            parts.append(chi_square(cells, ["other_col"], "_missing", "_value").where("dof > 0").select(
+                F.lit(m).alias("missing_col"), "other_col", F.col("cramers_v").alias("effect"), "n", "p_value", F.lit("categorical").alias("kind")))
+    if not parts:
+        return df.sparkSession.createDataFrame(
+            [], "missing_col string, other_col string, effect double, n long, p_value double, kind string, severity string")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    strong = F.abs("effect")
+    return out.where((strong > min_effect) & (F.col("p_value") < alpha)) \
+        .withColumn("severity", F.when(strong > 0.5, "CRITICAL").otherwise("WARNING"))
 
 
 # ---------------------------------------------------------------- D22

@@ -196,14 +196,15 @@ def stratified_flag(df: DataFrame, strata: list[str], fraction: float, order: Co
                 F.lit(n_buckets - 1))
     ob = o.crossJoin(F.broadcast(rng)).withColumn("_b", b).drop("lo", "hi")   # one-row broadcast
     hist = ob.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    tot = hist.groupBy(*strata).agg(F.sum("_n").alias("_tot"))
     w = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # histogram rows are (strata x n_buckets) at most: the window is over counts, not rows
-    cum = hist.join(tot, strata).withColumn("_cum", F.sum("_n").over(w)).withColumn(
-        "_quota", F.round(F.col("_tot") * F.lit(fraction)).cast("long"))
+    # histogram rows are (strata x n_buckets) at most: the windows are over counts, not rows
+    cum = hist.withColumn("_cum", F.sum("_n").over(w)).withColumn(
+        "_quota", F.round(F.sum("_n").over(Window.partitionBy(*strata)) * F.lit(fraction)).cast("long"))
     edge = cum.where((F.col("_cum") >= F.col("_quota")) & (F.col("_cum") - F.col("_n") < F.col("_quota"))).select(
-        *strata, F.col("_b").alias("_edge"), (F.col("_quota") - (F.col("_cum") - F.col("_n"))).alias("_need"))
-    j = ob.join(edge, strata, "left")          # strata-sized; AQE broadcasts it when small
+        *[F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)], F.col("_b").alias("_edge"),
+        (F.col("_quota") - (F.col("_cum") - F.col("_n"))).alias("_need"))
+    same = [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(strata)]     # a NULL stratum is a stratum
+    j = ob.join(edge, same, "left").drop(*[f"_s{i}" for i in range(len(strata))])   # strata-sized; AQE broadcasts it when small
     at_edge = F.col("_edge").isNotNull() & (F.col("_b") == F.col("_edge"))
     rest = j.where(~at_edge).withColumn(flag, F.coalesce(F.col("_b") < F.col("_edge"), F.lit(False)))
     rk = Window.partitionBy(*strata).orderBy("_o", *[c for c in df.columns if c not in strata])

@@ -200,8 +200,8 @@ def g13_missing_columns(spark, d):
 RETRAIN_METRICS_SQL = f"""met AS (SELECT model,
    1.0 - avg(CASE WHEN y_pred = y_true THEN 1.0 ELSE 0.0 END) AS error_rate,
    abs(avg(CASE WHEN ts >= TIMESTAMP '{EVENT_CUT}' THEN p END) - avg(CASE WHEN ts < TIMESTAMP '{EVENT_CUT}' THEN p END)) * 10 AS drift_score,
-   avg(CASE WHEN ts < TIMESTAMP '{EVENT_CUT}' THEN CASE WHEN y_pred = y_true THEN 1.0 ELSE 0.0 END END)
-     - avg(CASE WHEN ts >= TIMESTAMP '{EVENT_CUT}' THEN CASE WHEN y_pred = y_true THEN 1.0 ELSE 0.0 END END) AS accuracy_drop,
+   avg(CASE WHEN ts < TIMESTAMP '{EVENT_CUT}' THEN CASE WHEN y_pred = y_true THEN 1.0 ELSE 0.0 END END) AS baseline_accuracy,
+   avg(CASE WHEN ts >= TIMESTAMP '{EVENT_CUT}' THEN CASE WHEN y_pred = y_true THEN 1.0 ELSE 0.0 END END) AS current_accuracy,
    CAST(date_diff('day', CAST(min(ts) AS DATE), DATE '2024-02-20') AS INTEGER) AS age_days
  FROM pred GROUP BY model)"""
 
@@ -213,14 +213,16 @@ def retrain_metrics(spark, d):
     return p.groupBy("model").agg(
         (1.0 - F.avg(hit)).alias("error_rate"),
         (F.abs(F.avg(F.when(F.col("ts") >= cut, F.col("p"))) - F.avg(F.when(F.col("ts") < cut, F.col("p")))) * 10).alias("drift_score"),
-        (F.avg(F.when(F.col("ts") < cut, hit)) - F.avg(F.when(F.col("ts") >= cut, hit))).alias("accuracy_drop"),
+        F.avg(F.when(F.col("ts") < cut, hit)).alias("baseline_accuracy"), F.avg(F.when(F.col("ts") >= cut, hit)).alias("current_accuracy"),
         F.datediff(F.lit("2024-02-20").cast("date"), F.min("ts").cast("date")).alias("age_days"))
 
 
 @query("g14_should_retrain", with_([PRED_SQL, RETRAIN_METRICS_SQL], f"""SELECT model, {r6("error_rate")} AS error_rate, {r6("drift_score")} AS drift_score,
-  {r6("accuracy_drop")} AS accuracy_drop, age_days, reasons, reasons <> '' AS retrain FROM (
-  SELECT *, concat_ws('; ', CASE WHEN error_rate > 0.1 THEN 'high error rate' END, CASE WHEN drift_score > 0.3 THEN 'data drift' END,
-    CASE WHEN accuracy_drop > 0.15 THEN 'accuracy drop' END, CASE WHEN age_days > 30 THEN 'model age' END) AS reasons FROM met)"""))
+  {r6("baseline_accuracy")} AS baseline_accuracy, {r6("current_accuracy")} AS current_accuracy, age_days, reasons, reasons <> '' AS retrain FROM (
+  SELECT *, concat_ws('; ', CASE WHEN error_rate > 0.1 THEN printf('High error rate: %.2f%%', error_rate * 100) END,
+    CASE WHEN drift_score > 0.3 THEN printf('Data drift detected: %.3f', drift_score) END,
+    CASE WHEN baseline_accuracy - current_accuracy > 0.15 THEN printf('Performance drop: %.2f%% → %.2f%%', baseline_accuracy * 100, current_accuracy * 100) END,
+    CASE WHEN age_days > 30 THEN printf('Model age: %d days', age_days) END) AS reasons FROM met)"""))
 def g14_should_retrain(spark, d):
     return round_doubles(G.should_retrain(retrain_metrics(spark, d)))
 

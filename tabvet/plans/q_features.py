@@ -166,7 +166,7 @@ DOMAIN_SQL = """dom AS (SELECT l_orderkey, l_linenumber, l_quantity AS weight, l
   {r6('CASE WHEN income <> 0 THEN debt / income END')} AS feat_debt_to_income,
   {r6('CASE WHEN income <> 0 THEN debt / income END')} AS feat_debt_div_income FROM dom"""))
 def f8_domain_features(spark, d):
-    out, _ = FE.agentic_features(_domain_input(spark, d))
+    out, _ = FE.rule_features(_domain_input(spark, d))
     return round_doubles(out)
 
 
@@ -178,31 +178,31 @@ UNION ALL SELECT 'feat_debt_to_income', 'Debt-to-Income Ratio = debt / income',
 UNION ALL SELECT 'feat_debt_div_income', printf('debt / income (correlation: %.2f)', corr(debt, income)), 'debt, income',
   count(CASE WHEN income <> 0 THEN debt / income END), round(avg(CASE WHEN income <> 0 THEN debt / income END), 4), 2 FROM dom"""))
 def f10_feature_summary(spark, d):
-    out, feats = FE.agentic_features(_domain_input(spark, d))
+    out, feats = FE.rule_features(_domain_input(spark, d))
     return FE.feature_summary(out, feats)
 
 
 # ------------------------------------------------------------------ F9
 def _f9_sql() -> str:
     """Generic path on the four lineitem measures: squares; log1p where the minimum is > 0
-    (l_quantity, l_extendedprice); products of leading pairs; ratios where min |divisor| > 0
+    (l_quantity, l_extendedprice); products of all pairs; ratios where min |divisor| > 0
     (l_extendedprice only); no pair reaches |r| >= 0.5."""
     cols = LI_MEASURES
     sel = [f"{r6(c)} AS {c}" for c in cols]
-    sel += [f"{r6(f'{c} * {c}', 2 if c == 'l_extendedprice' else 6)} AS feat_{c[:10]}_squared" for c in cols]
-    sel += [f"{r6(f'ln(1 + {c})')} AS feat_log_{c[:10]}" for c in ("l_quantity", "l_extendedprice")]
+    sel += [f"{r6(f'{c} * {c}', 2 if c == 'l_extendedprice' else 6)} AS feat_{c}_squared" for c in cols]
+    sel += [f"{r6(f'ln(1 + {c})')} AS feat_log_{c}" for c in ("l_quantity", "l_extendedprice")]
     for i in range(3):
         for j in range(i + 1, 4):
             a, b = cols[i], cols[j]
-            sel.append(f"{r6(f'{a} * {b}')} AS feat_{a[:8]}_x_{b[:8]}")
-    sel.append(f"{r6('l_quantity / l_extendedprice')} AS feat_l_quanti_div_l_extend")
+            sel.append(f"{r6(f'{a} * {b}')} AS feat_{a}_x_{b}")
+    sel.append(f"{r6('l_quantity / l_extendedprice')} AS feat_l_quantity_div_l_extendedprice")
     return f"SELECT {', '.join(sel)} FROM lineitem"
 
 
 @query("f9_generic_features", _f9_sql())
 def f9_generic_features(spark, d):
-    out, _ = FE.agentic_features(_li(spark, d).select(*LI_MEASURES))
-    return round_doubles(out, 6, {"feat_l_extended_squared": 2})
+    out, _ = FE.rule_features(_li(spark, d).select(*LI_MEASURES))
+    return round_doubles(out, 6, {"feat_l_extendedprice_squared": 2})
 
 
 # ------------------------------------------------------------------ F11 / F12

@@ -97,11 +97,11 @@ def l1_metric_trend(spark, d):
 
 ALERTS_SQL = [PRED_SQL, RETRAIN_METRICS_SQL, """al AS (
   SELECT model, 'high_error_rate' AS alert_type, 'CRITICAL' AS severity,
-    'Error rate ' || CAST(round(error_rate * 100, 2) AS VARCHAR) || '% exceeds threshold 5.0%' AS message, error_rate AS value FROM met WHERE error_rate > 0.05
+    printf('Error rate %.2f%% exceeds threshold 5.00%%', error_rate * 100) AS message, error_rate AS value FROM met WHERE error_rate > 0.05
   UNION ALL SELECT model, 'data_drift', CASE WHEN drift_score > 0.5 THEN 'CRITICAL' ELSE 'WARNING' END,
-    'Data drift detected (score: ' || CAST(round(drift_score, 3) AS VARCHAR) || ')', drift_score FROM met WHERE drift_score > 0.3
-  UNION ALL SELECT model, 'performance_degradation', 'WARNING', 'Accuracy dropped by ' || CAST(round(accuracy_drop * 100, 2) AS VARCHAR) || '%',
-    accuracy_drop FROM met WHERE accuracy_drop > 0.1
+    printf('Data drift detected (score: %.3f)', drift_score), drift_score FROM met WHERE drift_score > 0.3
+  UNION ALL SELECT model, 'performance_degradation', 'WARNING', printf('Accuracy dropped from %.2f%% to %.2f%%', baseline_accuracy * 100, current_accuracy * 100),
+    baseline_accuracy - current_accuracy FROM met WHERE baseline_accuracy - current_accuracy > 0.1
   UNION ALL SELECT model, 'model_staleness', 'INFO', 'Model is ' || CAST(age_days AS VARCHAR) || ' days old (threshold: 30 days)',
     CAST(age_days AS DOUBLE) FROM met WHERE age_days > 30)"""]
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabvet.functions.core import numeric_cols
 from tabvet.operators.colstats import column_stats
 from tabvet.operators.profile import histogram, top_values
+from tabvet.session import path_exists
 
 PREDICTION_LOG_SCHEMA = ("ts timestamp, model string, version string, event_id long, prediction string, "
                          "confidence double, actual string")
@@ -87,14 +88,14 @@ def save_baseline(baseline: dict[str, DataFrame], path: str, dataset: str) -> No
                 .option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{part}")
 
 
-def load_baseline(spark: SparkSession, path: str, dataset: str) -> dict[str, DataFrame]:
-    out = {}
-    for part in ("stats", "histogram", "top_values"):
-        try:
-            out[part] = spark.read.parquet(f"{path}/{part}").where(F.col("dataset") == dataset).drop("dataset")
-        except Exception:
-            out[part] = None
-    return out
+def load_baseline(spark: SparkSession, path: str, dataset: str) -> dict[str, DataFrame | None]:
+    """The parts of a saved baseline; None for a part that was not saved. Read errors are raised."""
+    def part(name: str) -> DataFrame | None:
+        if not path_exists(spark, f"{path}/{name}"):
+            return None
+        return spark.read.parquet(f"{path}/{name}").where(F.col("dataset") == dataset).drop("dataset")
+
+    return {name: part(name) for name in ("stats", "histogram", "top_values")}
 
 
 # ------------------------------------------------------------------ A9

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tabvet.session import checkpoint_dir
+from tabvet.session import checkpoint_dir, path_exists
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -55,10 +55,9 @@ def run_available_now(stream: DataFrame, tag: str, output_mode: str = "append",
 
 def latest_per_key(spark: SparkSession, path: str, keys: list[str], schema_of: DataFrame | None = None) -> DataFrame:
     """Update-mode sinks hold one row per key and batch; keep each key's row of the latest batch."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception:  # no batch produced any row
+    if not path_exists(spark, path):  # no batch produced any row
         return spark.createDataFrame([], schema_of.schema) if schema_of is not None else spark.createDataFrame([], "x int")
+    df = spark.read.parquet(path)
     w = F.max_by(F.struct(*[c for c in df.columns if c not in keys and c != "batch_id"]), "batch_id")
     return df.groupBy(*keys).agg(w.alias("_r")).select(*keys, "_r.*")
 
