@@ -139,7 +139,7 @@ DOMAIN_KEYWORDS = [
 # ---- fixed values: whole-value patterns for value_patterns (anchored) ----
 VALUE_PATTERNS = [
     ("EMAIL", r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"),
-    ("PHONE", r"^[+]?[(]?[0-9]{3}[)]?[-\s.]?[0-9]{3}[-\s.]?[0-9]{4,6}$"),
+    ("PHONE", r"^[\+]?[(]?[0-9]{3}[)]?[-\s\.]?[0-9]{3}[-\s\.]?[0-9]{4,6}$"),
     ("URL", r"^https?://[^\s]+$"),
     ("IP_ADDRESS", r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"),
     ("CREDIT_CARD", r"^\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}$"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabvet.functions.core import NUMERIC_TYPES, categorical_cols, nan_to_null, numeric_cols, safe_div
-from tabvet.operators.colstats import column_stats, distinct_values
+from tabvet.operators.colstats import column_stats, distinct_table, number_counts
 from tabvet.functions.stats import chi2_sf, t_sf_two_sided
 from tabvet.operators.longform import exact_quantiles, quantiles_from_counts, top_k_per_key, unpivot, value_counts
 
@@ -18,7 +18,8 @@ from tabvet.operators.longform import exact_quantiles, quantiles_from_counts, to
 def profile_columns(df: DataFrame, cols: list[str] | None = None, median: bool = True) -> DataFrame:
     """Per column nulls, null %, distinct, distinct %, constant flag and numeric moments + median."""
     cols = cols or df.columns
-    st = column_stats(df, cols)
+    table = distinct_table(df, cols)
+    st = column_stats(df, cols, table=table)
     out = st.select(
         "column", "dtype", "position", "n_rows", "n_null",
         (F.col("n_null") * 100.0 / F.col("n_rows")).cast("double").alias("null_pct"),
@@ -29,8 +30,7 @@ def profile_columns(df: DataFrame, cols: list[str] | None = None, median: bool =
     )
     num = [c for c in cols if isinstance(df.schema[c].dataType, NUMERIC_TYPES)]
     if median and num:
-        vn, _ = distinct_values(df, num)
-        med = quantiles_from_counts(vn, [0.5]).select("column", F.col("quantile").alias("median"))
+        med = quantiles_from_counts(number_counts(table), [0.5]).select("column", F.col("quantile").alias("median"))
         out = out.join(F.broadcast(med), "column", "left")   # one row per column
     else:
         out = out.withColumn("median", F.lit(None).cast("double"))
