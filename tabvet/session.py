@@ -39,6 +39,21 @@ def get_spark(master: str | None = None, app: str = "tabvet", shuffle_partitions
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application: they need not have it on their own path."""
+    import shutil
+
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        name = os.path.join(tempfile.mkdtemp(prefix="tabvet-package-"), "tabvet")
+        sc.addPyFile(shutil.make_archive(name, "zip", root, "tabvet"))
+        _SHIPPED.add(sc.applicationId)
+
+
 _LOCAL_CKPT: str | None = None
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
