@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabvet.functions.core import round_doubles
 from tabvet.operators import clean as E
+from tabvet.operators import drift as G
 from tabvet.operators import infer as C
 from tabvet.operators import train as I
 from tabvet.operators import validate as B
@@ -16,6 +17,7 @@ from tabvet.plans.fixtures import EVENT_CUT
 from tabvet.plans.q_validate import VAL_COLS, VAL_KEYS, _validate_sql
 from tabvet.plans.registry import query
 from tabvet.plans.sqlgen import r6
+from tabvet.session import materialize
 from tabvet.sources.tables import load_table
 from tabvet.streaming import streams as S
 
@@ -53,11 +55,11 @@ def m2_error_rate_alerts_stream(spark, d):
 
 @query("m5_alert_sink_stream", f"SELECT * FROM ({M2_SQL}) WHERE alert")
 def m5_alert_sink_stream(spark, d):
-    """Alert rows only, appended by the idempotent batch sink (append mode: a window is written
-    once the watermark closes it; the final flush comes from a last update-mode drain)."""
-    st = S.error_rate_alerts_stream(S.table_stream(spark, d, "events")).where("alert")
+    """Alert windows. The update-mode sink keeps every state of a window, alert or not, so that a window whose rate falls
+    below the limit later loses its alert; the filter follows the latest-per-key step."""
+    st = S.error_rate_alerts_stream(S.table_stream(spark, d, "events"))
     out = S.run_available_now(st, "m5", "update")
-    return round_doubles(S.latest_per_key(spark, out, ["window_start"]))
+    return round_doubles(S.latest_per_key(spark, out, ["window_start"]).where("alert"))
 
 
 # ------------------------------------------------------------------ M3
@@ -71,20 +73,22 @@ def m3_prediction_state_stream(spark, d):
 
 
 # ------------------------------------------------------------------ M4
-@query("m4_drift_stream")
+_M4_BIN = "CASE WHEN value < lo OR value > hi THEN NULL WHEN hi = lo THEN 0 WHEN value = hi THEN 9 ELSE least(CAST(floor((value - lo) / ((hi - lo) / 10)) AS BIGINT), 9) END"
+
+
+@query("m4_drift_stream", f"""WITH ref AS (SELECT value FROM events WHERE ts < TIMESTAMP '{EVENT_CUT}'), cur AS (SELECT value FROM events WHERE ts >= TIMESTAMP '{EVENT_CUT}'),
+mm AS (SELECT min(value) AS lo, max(value) AS hi, count(value) AS n FROM ref), ct AS (SELECT count(value) AS tot FROM cur),
+hb AS (SELECT {_M4_BIN} AS bin, count(*) AS cnt FROM ref, mm GROUP BY 1), cb AS (SELECT {_M4_BIN} AS bin, count(*) AS cnt FROM cur, mm GROUP BY 1),
+j AS (SELECT CASE WHEN coalesce(hb.cnt, 0) = 0 THEN 1e-10 ELSE hb.cnt * 1.0 / n END AS bp, CASE WHEN coalesce(cb.cnt, 0) = 0 THEN 1e-10 ELSE cb.cnt * 1.0 / tot END AS cp
+  FROM range(0, 10) b CROSS JOIN mm CROSS JOIN ct LEFT JOIN hb ON hb.bin = b.range LEFT JOIN cb ON cb.bin = b.range)
+SELECT CAST(0 AS BIGINT) AS batch, 'value' AS "column", max(tot) AS n, {r6("sum((cp - bp) * ln(cp / bp))")} AS psi FROM j, ct""")
 def m4_drift_stream(spark, d):
-    ev = load_table(spark, d, "events")
-    ref = ev.where(F.col("ts") < F.lit(EVENT_CUT).cast("timestamp_ntz"))
-    from tabvet.operators.longform import quantiles_wide
-    edges = sorted({r["quantile"] for r in quantiles_wide(ref, ["value"], [i / 10 for i in range(11)]).collect()})
-    x = F.col("value")
-    b = sum((F.when(x > F.lit(e), 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
-    h = {r["bin"]: r["n"] for r in ref.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    tot = sum(h.values())
-    pct = [h.get(i, 0) / tot for i in range(len(edges) - 1)]
-    stream = S.table_stream(spark, d, "events").where(F.col("ts") >= F.lit(EVENT_CUT).cast("timestamp_ntz"))
+    """The table is one file, so one micro-batch; several are tested against the batch operator in tests/."""
+    cut = F.lit(EVENT_CUT).cast("timestamp_ntz")
+    base = materialize(G.histogram_shares(load_table(spark, d, "events").where(F.col("ts") < cut), ["value"], 10))
+    stream = S.table_stream(spark, d, "events").where(F.col("ts") >= cut)
     out_dir, chk = S._sink_dirs(spark, "m4")
-    q = (stream.writeStream.option("checkpointLocation", chk).foreachBatch(S.drift_batches(stream, edges, pct, "value", out_dir))
+    q = (stream.writeStream.option("checkpointLocation", chk).foreachBatch(S.drift_batches(base, ["value"], out_dir))
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return round_doubles(spark.read.parquet(out_dir).drop("batch_id"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tabvet.operators.drift import psi_counts
 from tabvet.session import checkpoint_dir, path_exists
 
 
@@ -124,21 +125,13 @@ def prediction_state_stream(events: DataFrame, key, conf, ts: str = "ts", tie: s
 
 
 # ------------------------------------------------------------------ M4
-def drift_batches(stream: DataFrame, baseline_edges: list[float], baseline_pct: list[float], value: str, out: str):
-    """foreachBatch function: per micro-batch histogram on the baseline edges -> PSI row."""
-    edges = [float(e) for e in baseline_edges]
-    base = [max(float(p), 1e-4) for p in baseline_pct]
+def drift_batches(baseline: DataFrame, cols: list[str], out: str):
+    """foreachBatch function: one PSI row per column and micro-batch against a stored baseline histogram.
 
+    `baseline` (column, bin, lo, hi, share) has one row per column and bin; binning, range rule and floor are those of
+    the batch operator `psi_counts`, which it calls."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        x = F.col(value).cast("double")
-        b = sum((F.when(x > F.lit(e), 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
-        h = batch.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-        spark = batch.sparkSession
-        grid = spark.createDataFrame([(i, base[i]) for i in range(len(base))], "bin int, base double")
-        t = grid.join(h, "bin", "left").fillna(0, ["n"])
-        tot = F.sum("n").over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy())
-        cur = F.greatest(F.col("n") / tot, F.lit(1e-4))
-        psi = t.select(((cur - F.col("base")) * F.log(cur / F.col("base"))).alias("c"), "n") \
-            .agg(F.sum("c").alias("psi"), F.sum("n").alias("n"))
-        psi.select(F.lit(batch_id).alias("batch"), "n", "psi").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        n = batch.agg(*[F.count(c).alias(c) for c in cols]).unpivot([], cols, "column", "n")
+        psi = psi_counts(baseline, batch, cols).join(n, "column")
+        psi.select(F.lit(batch_id).cast("long").alias("batch"), "column", "n", "psi").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
     return write
