@@ -362,12 +362,10 @@ def preprocess(df: DataFrame, target: str | None = None):
     return model, model.transform(prepared)
 
 
-def kmeans(df: DataFrame, cols: list[str], k: int | None = None, seed: int = 42, keys: list[str] | None = None) -> DataFrame:
-    """k = min(5, n // 20) (at least 2) clusters of z-scaled features; adds `cluster`."""
+def kmeans(df: DataFrame, cols: list[str], k: int = 5, seed: int = 42, keys: list[str] | None = None) -> DataFrame:
+    """k clusters of z-scaled features; adds `cluster`."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler
-    n = df.count()
-    k = k or max(2, min(5, n // 20))
     x = _assemble(df.select(*(keys or []), *[F.coalesce(_dbl(c), F.lit(0.0)).alias(c) for c in cols]), cols)
     z = StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True).fit(x).transform(x)
     m = KMeans(k=k, seed=seed, featuresCol="_z", predictionCol="cluster", maxIter=50).fit(z)

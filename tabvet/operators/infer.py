@@ -191,13 +191,13 @@ def task_type(df: DataFrame, target: str) -> DataFrame:
         F.when((F.col("n_distinct") <= 20) | F.lit(is_text), "classification").otherwise("regression").alias("task_type"))
 
 
-def sensitive_columns(df: DataFrame, target: str | None = None) -> DataFrame:
+def sensitive_columns(df: DataFrame, target: str | None = None, k: int | None = None) -> DataFrame:
     """C11: 2..10 distinct values and a sensitive name pattern, or <= 5 distinct ('demographic');
-    first three kept (schema order)."""
+    all of them, or the first k in schema order."""
     # positions stay those of the input schema; the target is dropped after the aggregate
     st = column_stats(df, df.columns, numeric_stats=False).where(F.col("column") != F.lit(target or ""))
     nd = F.col("n_distinct")
     by_name = _first_match(F.col("column"), R.SENSITIVE_PATTERNS)
     typ = F.when((nd <= 10) & (nd >= 2) & by_name.isNotNull(), by_name).when((nd <= 10) & (nd >= 2) & (nd <= 5), F.lit("demographic"))
-    return st.select("column", "position", "n_distinct", typ.alias("sensitive_type")).where(F.col("sensitive_type").isNotNull()) \
-        .orderBy("position").limit(3)
+    found = st.select("column", "position", "n_distinct", typ.alias("sensitive_type")).where(F.col("sensitive_type").isNotNull())
+    return found if k is None else found.orderBy("position").limit(k)

@@ -27,11 +27,9 @@ from tabvet.operators.validate import stratified_flag
 # ------------------------------------------------------------------ I1
 def split(df: DataFrame, target: str, test_size: float = 0.2, order: Column | None = None, seed: int = 42) -> DataFrame:
     """Stratified hold-out: exactly round(test_size x n_c) rows of every class c go to 'test'
-    (the smallest hash values), the rest to 'train'; 0.5 when the table has <= 10 rows."""
+    (the smallest hash values), the rest to 'train'."""
     order = order if order is not None else F.xxhash64(*[F.col(c) for c in df.columns], F.lit(seed))
-    n = df.limit(11).count()
-    frac = 0.5 if n <= 10 else test_size
-    f = stratified_flag(df, [target], frac, order, "_test")
+    f = stratified_flag(df, [target], test_size, order, "_test")
     return f.withColumn("split", F.when(F.col("_test"), F.lit("test")).otherwise(F.lit("train"))).drop("_test")
 
 

@@ -179,6 +179,6 @@ def c10_task_type(spark, d):
 SELECT "column", position, CAST(nd AS BIGINT) AS n_distinct, CASE
   WHEN nd <= 10 AND nd >= 2 AND {_case('"column"', R.SENSITIVE_PATTERNS)} IS NOT NULL THEN {_case('"column"', R.SENSITIVE_PATTERNS)}
   WHEN nd <= 10 AND nd >= 2 AND nd <= 5 THEN 'demographic' END AS sensitive_type
-FROM f WHERE "column" <> 'c_acctbal' AND sensitive_type IS NOT NULL ORDER BY position LIMIT 3""")
+FROM f WHERE "column" <> 'c_acctbal' AND sensitive_type IS NOT NULL""")
 def c11_sensitive_columns(spark, d):
     return C.sensitive_columns(load_table(spark, d, "customer"), target="c_acctbal")

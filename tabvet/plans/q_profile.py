@@ -63,19 +63,26 @@ def d3_missing_totals(spark, d):
 
 
 # ------------------------------------------------------------------ D4 / D5
-DUP_COLS = ["l_returnflag", "l_linestatus", "l_quantity", "l_discount"]
+DUP_COLS = [c for c, _, _ in LI_COLS]
+DUP_SQL = "dup AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 10 = 0)"
 
 
-@query("d4_duplicate_rows", f"""SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n - 1) AS BIGINT) AS n_duplicates,
+def with_copies(spark, d):
+    """The whole table and a second copy of the rows of every tenth order."""
+    li = load_table(spark, d, "lineitem")
+    return li.unionByName(li.where(F.col("l_orderkey") % 10 == 0))
+
+
+@query("d4_duplicate_rows", with_([DUP_SQL], f"""SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n - 1) AS BIGINT) AS n_duplicates,
   {r6("sum(n - 1) * 100.0 / sum(n)")} AS duplicate_pct
-FROM (SELECT count(*) AS n FROM lineitem GROUP BY {", ".join(DUP_COLS)})""")
+FROM (SELECT count(*) AS n FROM dup GROUP BY {", ".join(DUP_COLS)})"""))
 def d4_duplicate_rows(spark, d):
-    return round_doubles(P.duplicate_rows(load_table(spark, d, "lineitem").select(*DUP_COLS)))
+    return round_doubles(P.duplicate_rows(with_copies(spark, d)))
 
 
-@query("d5_drop_duplicates", f"SELECT DISTINCT {', '.join(DUP_COLS)} FROM lineitem")
+@query("d5_drop_duplicates", with_([DUP_SQL], f"SELECT DISTINCT {', '.join(DUP_COLS)} FROM dup"))
 def d5_drop_duplicates(spark, d):
-    return P.drop_duplicates(load_table(spark, d, "lineitem").select(*DUP_COLS))
+    return P.drop_duplicates(with_copies(spark, d).select(*DUP_COLS))
 
 
 # ------------------------------------------------------------------ D6 / D7
