@@ -33,9 +33,9 @@ from tabvet.llm.common import read, text_or_empty
 TOKENIZER = "word_bpe_49k.json"
 CACHED = 800_000  # entries of each dictionary of a worker
 
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # str.split() is not the library's idea of these
 FRAGMENT = re.compile(r"[^\x20\x09-\x0D]+")
-LATIN = "À-ÖØ-öø-įĲ-ňŊ-ž"
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e"  # letters that neither NFC nor lower-casing splits
 PLAIN = re.compile(f"[\x21-\x7e{LATIN}]+")
 PIECE = re.compile(f"[a-z{LATIN}]+|[0-9]|[^a-z0-9{LATIN}]+")
 LETTERS = re.compile(f"[a-z{LATIN}]+")
