@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tabvet.llm.common import read, text_or_empty
 
 TOKENIZER = "word_bpe_49k.json"
-CACHED = 800_000  # entries of each dictionary of a worker
+CACHED = 300_000  # entries of each dictionary of a worker
 
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # str.split() is not the library's idea of these
 FRAGMENT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,8 +83,8 @@ class Encoder:
         size = self.library.get_vocab_size()
         self.token = np.array([self.library.id_to_token(i) or "" for i in range(size)], dtype=object)
         self.ends = np.array([str(t).endswith(suffix) for t in self.token])
-        self.fragments: dict[str, tuple[bytes, str, int]] = {}
-        self.pieces: dict[str, tuple[bytes, str, int]] = {}
+        self.fragments: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
+        self.pieces: dict[str, bytes] = {}
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -112,13 +112,10 @@ class Encoder:
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):
                 raise ValueError("a run of letters was not one pre-token")
-            self.pieces.update((p, self.found(x)) for p, x in zip(some, np.split(ids, stops[:-1])))
+            self.pieces.update((p, x.tobytes()) for p, x in zip(some, np.split(ids, stops[:-1])))
         rest = [p for p in pieces if not LETTERS.fullmatch(p)]
         for p, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False)):
-            self.pieces[p] = self.found(np.array(e.ids, dtype="<u4"))
-
-    def found(self, ids: np.ndarray) -> tuple[bytes, str, int]:
-        return ids.tobytes(), " ".join(self.token[ids].tolist()), len(ids)
+            self.pieces[p] = np.array(e.ids, dtype="<u4").tobytes()
 
     def learn(self, fragments: set[str]) -> None:
         """Encode fragments that the cache lacks."""
@@ -127,13 +124,10 @@ class Encoder:
             self.pieces.clear()
         self.encode_pieces([p for p in {p for c in cuts.values() for p in c} if p not in self.pieces])
         for f, pieces in cuts.items():
-            parts = [self.pieces[p] for p in pieces]
-            if len(parts) > 1:
-                parts = [(b"".join(p[0] for p in parts), " ".join(p[1] for p in parts if p[2]), sum(p[2] for p in parts))]
-            self.fragments[f] = parts[0]
+            self.fragments[f] = b"".join([self.pieces[p] for p in pieces])
 
-    def lookup(self, fragments: list[str]) -> list[tuple[bytes, str, int]]:
-        """(ids as little-endian 32-bit, decoded text, number of ids) of each fragment."""
+    def lookup(self, fragments: list[str]) -> list[bytes]:
+        """The ids of each fragment."""
         try:
             return list(map(self.fragments.__getitem__, fragments))
         except KeyError:
@@ -148,12 +142,12 @@ class Encoder:
         if len(self.pieces) > CACHED:
             self.pieces.clear()
         self.encode_pieces([p for p in {p for c in cuts for p in c} if p not in self.pieces])
-        return [sum(self.pieces[p][2] for p in c) for c in cuts]
+        return [sum(len(self.pieces[p]) for p in c) // 4 for c in cuts]
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """(ids, decoded text) of a whole text. The library's decode joins the tokens by spaces, as it has no decoder."""
-        found = self.lookup(self.split(text))
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[2]])
+        ids = b"".join(self.lookup(self.split(text)))
+        return ids, " ".join(self.token[np.frombuffer(ids, "<u4")].tolist())
 
 
 _ENCODERS: dict[str, Encoder] = {}

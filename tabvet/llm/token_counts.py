@@ -54,7 +54,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
     path = path or tokenizer_path()
     enc = encoder(path)
     common = frequent_fragments(docs)
-    lengths = dict(zip(common, (found[2] for found in enc.lookup(common))))
+    lengths = dict(zip(common, enc.lengths(common)))
     table = docs.sparkSession.sparkContext.broadcast(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
