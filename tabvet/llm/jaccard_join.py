@@ -8,10 +8,11 @@ work is on classes. Two sets link when 100 * intersection >= 75 * union.
    list only keeps popular shingles out of the way. A linked pair shares a shingle among the first n - ceil(0.75 n) + 1
    of each side, so only these prefixes are dealt out by shingle; shingles of a single class go at once.
 2. Groups. Each shingle names the document that its holders resemble most (largest mean popularity of its prefix);
-   documents are compared with the few hubs they are sent to, and stars of verified links form the first components.
-   A component is cut into groups of about `GROUP` similar documents: copies of one text meet their hub, not each other.
+   documents are compared with the few hubs they are sent to, and stars of verified links form the first components:
+   copies of one text meet their hub, not each other. Groups of about `GROUP` similar documents are parts of one star,
+   or documents that name the same hub without being linked to it.
 3. Token-group matrix. The union of the prefixes of a group is a row of the matrix, stored as (shingle, group). A query
-   document of another component meets a group only over shared shingles; the number of its prefix shingles found in
+   document of another star meets a group only over shared shingles; the number of its prefix shingles found in
    the group's union bounds the overlap with every member (see `needed`).
 4. Only groups that pass are opened: the bound is first taken again over the full union, and then the query is
    compared with all members in one pass over the group's shingles. The links join the components.
@@ -219,7 +220,7 @@ def opened(pairs: DataFrame) -> DataFrame:
                     continue
                 common = np.bincount(owner[hits], minlength=len(parts))
                 for m, p, c in zip(found, parts, common):
-                    if 100 * c >= PERCENT * (len(query) + len(p) - c):
+                    if m["class"] != q.as_py() and 100 * c >= PERCENT * (len(query) + len(p) - c):
                         us.append(q.as_py())
                         vs.append(m["class"])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
@@ -228,14 +229,15 @@ def opened(pairs: DataFrame) -> DataFrame:
 
 
 def hub_pairs(rows: DataFrame) -> DataFrame:
-    """q, s: each class with the hubs that many of its prefix shingles name."""
+    """q, s, votes: each class with the hubs that many of its prefix shingles name."""
     prefix_size = F.expr(f"n - ({PERCENT} * n + 99) div 100 + 1")
     popular = rows.groupBy("class").agg((F.sum("df") / F.first(prefix_size)).alias("score"), F.count(F.lit(1)).alias("mine"))
     scored = rows.join(popular, "class")
     hubs = scored.groupBy("token").agg(F.max(F.struct("score", "class", "n")).alias("hub"))
     sent = scored.where((F.col("mine") >= 0.4 * prefix_size)).join(hubs, "token").where("class <> hub.class")
     sent = sent.groupBy("class", F.col("hub.class").alias("s"), "n", F.col("hub.n").alias("hub_n"), "mine").agg(F.count(F.lit(1)).alias("votes"))
-    return sent.where(f"votes >= 0.25 * mine and 100 * least(n, hub_n) >= {PERCENT} * greatest(n, hub_n)").select(F.col("class").alias("q"), "s")
+    near = sent.where(f"votes >= 0.25 * mine and 100 * least(n, hub_n) >= {PERCENT} * greatest(n, hub_n)")
+    return near.select(F.col("class").alias("q"), "s", "votes")
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
@@ -244,6 +246,20 @@ def with_sets(pairs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFram
     return pairs.join(mine, "q").join(members, "s").select("q", "q_tokens", "members")
 
 
+def similar_groups(classes: DataFrame, stars: DataFrame, pairs: DataFrame) -> DataFrame:
+    """class, n, s, star for classes(class, root, n): groups of about `GROUP` similar documents.
+
+    Members of a star share groups with members of the same star, whose root is the group's `star`. The others go with
+    those that name the same first hub, without being linked to it, or stay alone; their `star` is null."""
+    inside = stars.select(F.col("node").alias("class")).union(stars.select("root")).distinct().withColumn("starred", F.lit(True))
+    hubs = pairs.groupBy(F.col("q").alias("class")).agg(F.max_by("s", F.struct("votes", "s")).alias("hub"))
+    keyed = classes.join(inside, "class", "left").join(hubs, "class", "left").withColumn("star", F.when(F.col("starred"), F.col("root")))
+    keyed = keyed.withColumn("key", F.xxhash64(F.col("star").isNotNull(), F.coalesce("star", "hub", "class")))
+    chunks = keyed.groupBy("key").agg(F.expr(f"(count(1) + {GROUP - 1}) div {GROUP}").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("class"), F.col("chunks"))
+    return keyed.join(chunks, "key").select("class", "n", F.xxhash64("key", chunk).alias("s"), "star")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
@@ -266,18 +282,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = materialize(opened(with_sets(pairs, sets, alone)))
     stars = star_forest(links)
 
-    # token-group matrix over the components so far
+    # token-group matrix over groups of similar documents
     named = rows.join(stars.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     named = named.withColumn("a", F.min("root").over(every)).withColumn("b", F.max("root").over(every)).where("a < b").drop("a", "b", "df")
-    sizes = named.select("root", "class", "n").distinct()
-    chunks = sizes.groupBy("root").agg(F.expr(f"(count(1) + {GROUP - 1}) div {GROUP}").alias("chunks"))
-    grouped = sizes.join(chunks, "root").withColumn("s", F.xxhash64("root", F.pmod(F.xxhash64("class"), F.col("chunks"))))
-    grouped = materialize(grouped.select("class", "n", "root", "s"))
+    grouped = materialize(similar_groups(named.select("class", "root", "n").distinct(), stars, pairs))
     ranges = grouped.groupBy("s").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    named = materialize(named.join(grouped.select("class", "s"), "class"))
-    matrix = named.groupBy("token", "s", "root").agg(F.count(F.lit(1)).alias("members")).join(ranges, "s")
-    queries = named.select("token", F.col("class").alias("q"), "n", F.col("root").alias("q_root"))
-    met = queries.join(matrix, "token").where(f"q_root > root and 100 * hi >= {PERCENT} * n and 100 * n >= {PERCENT} * lo")
+    named = materialize(named.join(grouped.select("class", "s", "star"), "class"))
+    matrix = named.groupBy("token", "s", "star").agg(F.count(F.lit(1)).alias("holders")).join(ranges, "s")
+    queries = named.select("token", F.col("class").alias("q"), "n", F.col("root").alias("q_root"), F.col("s").alias("q_s"))
+    meets = f"(q_s > s or q_s = s and holders > 1) and not (star <=> q_root) and 100 * hi >= {PERCENT} * n and 100 * n >= {PERCENT} * lo"
+    met = queries.join(matrix, "token").where(meets)
     met = met.groupBy("q", "s", "n", "lo", "hi").agg(F.count(F.lit(1)).alias("common"))
     met = materialize(met.where(F.col("common") >= needed(F.col("n"), F.col("lo"), F.col("hi"))).select("q", "s"))
 
