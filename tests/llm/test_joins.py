@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tabvet.llm import jaccard_join as J
@@ -140,6 +141,30 @@ def test_recall_with_several_leaves(spark, monkeypatch):
     assert np.mean(hits) >= 0.9
 
 
+def test_recall_with_varied_norms(spark):
+    """Large vectors are everybody's neighbours; no node may lose its own edges to them, no query may end open."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 24))[rng.integers(0, 300, 30_000)] + 0.6 * rng.normal(size=(30_000, 24))
+    x *= (rng.lognormal(0, 0.5, 30_000) / np.linalg.norm(x, axis=1))[:, None]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    got = {(r.query_id, r.vec_id) for r in V.search(df).collect()}
+    hits = []
+    for q in range(0, len(x), 20):
+        sims = x @ x[q]
+        sims[q] = -np.inf
+        hits += [(q, int(i)) in got for i in np.argpartition(-sims, 20)[:20]]
+    assert np.mean(hits) >= 0.98
+
+
+def test_forward_edges_to_popular_nodes_stay(spark):
+    rows = [(i, [0] + [x for x in (i - 1, i + 1) if 0 < x < 3000]) for i in range(1, 3000)] + [(0, [1, 2])]
+    graph = spark.createDataFrame(rows, "node long, near array<long>").withColumn("card", F.col("node").cast("string").cast("binary"))
+    pairs = {(r.centre, r.member) for r in V.edges(graph, 4).collect()}
+    assert all((c, m) in pairs for c, near in rows for m in near)
+    met = {r.centre: len(r.members) for r in V.neighbourhoods(graph, 4).collect()}
+    assert sum(met.values()) == len(pairs) and max(met.values()) <= 3 + 4
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as P
     from tabvet.session import materialize
