@@ -3,15 +3,20 @@
 1. A url gives its host (after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased) and its path (from
    there up to `?`, `#` or the end). Fixed rules decide first; the longest fitting rule wins.
 2. Lexical generalisation: path segments with a digit, very long ones and many-worded ones become `*` (a file ending
-   stays). What lies below `DEPTH` segments becomes one `*`. Only the (host, template) totals go on.
-3. Statistical generalisation: a branch with fewer than `min_rows` urls becomes `*`.
-4. Purity: every node's share of labelled urls that are blocked, smoothed towards its parent (host towards all hosts).
-   A branch whose labelled urls do not differ from the parent's purity by more than `z` standard errors is merged into
-   the parent's wildcard and takes the parent's purity.
-5. A template whose smoothed purity reaches `reject_at` is blocked.
+   stays). Only the (host, template) totals go on.
+3. The tree is built level by level, as deep as the paths go. Totals are regrouped by host and generalised prefix before
+   the next level is judged, so branches that became one sum their urls, labels and sub-branches.
+   - A branch with fewer than `min_rows` urls, or without a label, becomes `*`.
+   - The labelled branches of one parent are ordered by their blocked share, in at most `BANDS` bands, and neighbours
+     that do not differ by more than `z` standard errors become one: `*` if it holds the small branches or all labelled
+     ones, otherwise `{least|*}`, named by its least segment.
+   - A prefix that holds one template only keeps its remaining segments; one below `min_rows` gets `*` for them.
+4. Purity: every node's share of labelled urls that are blocked, smoothed towards its parent (host towards all hosts); a
+   node that holds all of its parent's labels, or none, takes the parent's purity.
+5. A template whose purity reaches `reject_at` is blocked.
 
 The labels are the urls that the rules decide, so nothing besides the url is read. Hosts are never gathered in one
-task: all groupings are sums with partial aggregates, and the per-template tree walk sees at most `DEPTH` nodes.
+task: all groupings are sums with partial aggregates, and what meets per parent is at most `BANDS` + 2 rows.
 
 Nulls: a null url, or one without `://`, has empty host and path, fits no rule and belongs to the empty host's tree.
 Repeated rows are judged alike, each with its own output row; an empty table gives no rows; other columns are not read.
@@ -19,13 +24,15 @@ Repeated rows are judged alike, each with its own output row; an empty table giv
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabvet.llm.common import read
-from tabvet.session import materialize
+from tabvet.session import materialize, release
 
 #: Fixed values: (host, path, verdict) of the rules.
 RULES = (
@@ -35,7 +42,7 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-DEPTH = 4
+BANDS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,53 +64,122 @@ def fitting_rule(rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]
     return text, verdict
 
 
-def lexical_template(path: Column, depth: int = DEPTH) -> Column:
-    """Array of at most `depth` segments, the variable ones generalised."""
+def lexical_template(path: Column) -> Column:
+    """Array of the path's segments, the variable ones generalised."""
 
     def general(s: Column) -> Column:
         ending = F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1)
         variable = s.rlike(r"[0-9]") | (F.length(s) > 32) | (F.size(F.split(s, "[-_+%]")) > 3)
         return F.when(variable, F.concat(F.lit("*"), ending)).otherwise(s)
 
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    few = F.slice(segments, 1, depth - 1)
-    tail = F.when(F.size(segments) > depth, F.array(F.lit("*"))).otherwise(F.slice(segments, depth, 1))
-    return F.transform(F.concat(few, tail), general)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), general)
+
+
+SUMS = ("n", "labelled", "blocked")
+
+
+def merged_bands(bands: DataFrame, z: float) -> DataFrame:
+    """tree, at, band, mark: bands of labelled branches, neighbours that do not differ have one mark.
+
+    bands(tree, at, band, branches, least, n, labelled, blocked); band -1 holds the small branches. The marks are the
+    next parts of the prefix: "*", "=" and a segment, or "~" and the least of several segments."""
+    item = F.struct((F.col("blocked") / F.col("labelled")).alias("share"), "band", "branches", "least", *SUMS)
+    one = "struct<bands:array<int>,branches:bigint,least:string,n:bigint,labelled:bigint,blocked:bigint>"
+
+    def made(bands: Column, branches: Column, least: Column, sums: list[Column]) -> Column:
+        return F.struct(bands, branches, least, *sums).cast(one)
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        sums = [last[c] + x[c] for c in SUMS]
+        both = sums[2] / sums[1]
+        error = F.sqrt(both * (1 - both) * (1 / last["labelled"] + 1 / x["labelled"]))
+        alike = F.abs(last["blocked"] / last["labelled"] - x["share"]) <= z * error
+        alone = made(F.array(x["band"]), x["branches"], x["least"], [x[c] for c in SUMS])
+        joined = made(F.concat(last["bands"], F.array(x["band"])), last["branches"] + x["branches"], F.least(last["least"], x["least"]), sums)
+        return F.when(alike, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(alone)))
+
+    listed = bands.where("labelled > 0").groupBy("tree", "at").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    first = F.expr("get(items, 0)")
+    start = F.array(made(F.array(first["band"]), first["branches"], first["least"], [first[c] for c in SUMS]))
+    grouped = listed.select("tree", "at", F.aggregate(F.expr("slice(items, 2, size(items))"), start, step).alias("groups"))
+    each = grouped.select("tree", "at", F.size("groups").alias("count"), F.explode("groups").alias("g"))
+    small = F.array_contains("g.bands", -1) | ((F.col("count") == 1) & (F.col("g.branches") > 1))
+    mark = F.when(small, F.lit("*")).when(F.col("g.branches") == 1, F.concat(F.lit("="), "g.least")).otherwise(F.concat(F.lit("~"), "g.least"))
+    return each.select("tree", "at", F.explode("g.bands").alias("band"), mark.alias("mark"))
+
+
+def shown(at: Column) -> Column:
+    name = lambda m: F.when(m.startswith("="), F.substr(m, F.lit(2))).when(m.startswith("~"), F.concat(F.lit("{"), F.substr(m, F.lit(2)), F.lit("|*}"))).otherwise(m)
+    return F.concat(F.lit("/"), F.array_join(F.transform(at, name), "/"))
+
+
+def walked(totals: DataFrame, prior: float, min_rows: int, alpha: float, z: float) -> DataFrame:
+    """tree, segments, template, purity, level for each row of totals(tree, segments, n, labelled, blocked).
+
+    level is the depth of the deepest node with labels, -1 where not even the root has any."""
+    again = [F.sum(c).alias(c) for c in SUMS]
+    root = totals.groupBy("tree").agg(F.sum("labelled").alias("seen"), F.sum("blocked").alias("hits"))
+    smooth = lambda hits, seen, parent: (hits + F.lit(alpha) * parent) / (seen + F.lit(alpha))
+    root = root.select("tree", "seen", smooth(F.col("hits"), F.col("seen"), F.lit(prior)).alias("purity"), F.when(F.col("seen") > 0, 0).otherwise(-1).alias("level"))
+    state = materialize(totals.join(root, "tree").withColumn("at", F.array().cast("array<string>")))
+    done, depth = [], 0
+    final = ["tree", "segments", "at", "purity", "level"]
+    while True:
+        ended = F.size("segments") <= depth
+        done.append(state.where(ended).select(*final))
+        active = state.where(~ended)
+        if active.isEmpty():
+            break
+        depth += 1
+        active = active.withColumn("segment", F.element_at("segments", depth))
+        branches = active.groupBy("tree", "at", "segment").agg(*again)
+        few = (F.col("n") < min_rows) | (F.col("labelled") == 0)
+        share = F.asin(F.sqrt(F.col("blocked") / F.col("labelled"))) * (2 / math.pi)
+        branches = materialize(branches.withColumn("band", F.when(few, -1).otherwise(F.floor(share * (BANDS - 1)).cast("int"))))
+        bands = branches.groupBy("tree", "at", "band").agg(F.count(F.lit(1)).alias("branches"), F.min("segment").alias("least"), *again)
+        marks = merged_bands(bands, z)
+        marked = branches.join(marks, ["tree", "at", "band"], "left").withColumn("mark", F.coalesce("mark", F.lit("*")))
+        names = marked.select("tree", "at", "segment", "mark")
+        named = active.join(names, ["tree", "at", "segment"])
+        nodes = named.groupBy("tree", "at", "mark").agg(
+            F.sum("n").alias("node_n"), F.sum("labelled").alias("node_seen"), F.sum("blocked").alias("node_hits"), F.count(F.lit(1)).alias("templates")
+        )
+        met = named.join(nodes, ["tree", "at", "mark"])
+        own = (F.col("node_seen") > 0) & (F.col("node_seen") < F.col("seen"))
+        purity = F.when(own, smooth(F.col("node_hits"), F.col("node_seen"), F.col("purity"))).otherwise(F.col("purity"))
+        level = F.when(F.col("node_seen") > 0, depth).otherwise(F.col("level"))
+        rest = F.slice("segments", depth + 1, F.greatest(F.size("segments") - depth, F.lit(0)))
+        tail = (
+            F.when(F.col("node_n") < min_rows, F.transform(rest, lambda s: F.lit("*")))
+            .when(F.col("templates") == 1, F.transform(rest, lambda s: F.concat(F.lit("="), s)))
+            .otherwise(F.array().cast("array<string>"))
+        )
+        over = (F.col("node_n") < min_rows) | (F.col("templates") == 1)
+        after = met.select(
+            "tree", F.when(over, F.slice("segments", 1, depth)).otherwise(F.col("segments")).alias("left"), "segments", *SUMS,
+            purity.alias("purity"), level.alias("level"), F.col("node_seen").alias("seen"), F.concat("at", F.array("mark"), tail).alias("at"),
+        )
+        after = materialize(after)
+        done.append(after.where(F.size("left") <= depth).select(*final))
+        going = after.where(F.size("left") > depth).drop("left")
+        release(branches)
+        state = going
+        if going.isEmpty():
+            break
+    out = functools.reduce(DataFrame.unionByName, done)
+    return out.select("tree", "segments", shown(F.col("at")).alias("template"), "purity", "level")
 
 
 def template_tree(rows: DataFrame, min_rows: int = 5, alpha: float = 4.0, z: float = 1.96) -> DataFrame:
-    """host, segments, template, purity for each (host, lexical template) of rows(host, segments, label).
+    """host, segments, template, purity, level for each (host, lexical template) of rows(host, segments, label).
 
     label is 1 for blocked, 0 for allowed, null for unlabelled."""
     sums = [F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")]
     totals = materialize(rows.groupBy("host", "segments").agg(*sums))
-    again = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
-    prefixes = F.transform(F.sequence(F.lit(0), F.size("segments")), lambda d: F.slice("segments", 1, d))
-    spread = totals.withColumn("prefix", F.explode(prefixes))
-    nodes = spread.groupBy("host", "prefix").agg(*again)
-    path = (
-        spread.select("host", "segments", "prefix")
-        .join(nodes, ["host", "prefix"])
-        .groupBy("host", "segments")
-        .agg(F.sort_array(F.collect_list(F.struct(F.size("prefix").alias("depth"), "n", "labelled", "blocked"))).alias("path"))
-    )  
     seen, blocked = totals.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
-    prior = F.lit((blocked + 0.5) / (seen + 1.0))
-    start = F.struct(prior.alias("purity"), F.array().cast("array<string>").alias("kept"), F.lit(False).alias("rare"))
-
-    def step(at: Column, node: Column) -> Column:
-        parent, seen = at["purity"], node["labelled"].cast("double")
-        own = node["blocked"] / F.greatest(seen, F.lit(1.0))
-        apart = F.abs(own - parent) > z * F.sqrt(parent * (1 - parent) / F.greatest(seen, F.lit(1.0)))
-        rare = at["rare"] | ((node["n"] < min_rows) & (node["depth"] > 0))
-        stays = ~rare & (seen > 0) & (apart | (node["depth"] == 0))
-        purity = F.when(stays, (node["blocked"] + F.lit(alpha) * parent) / (seen + F.lit(alpha))).otherwise(parent)
-        name = F.when(stays, F.element_at(F.col("segments"), F.greatest(node["depth"], F.lit(1)))).otherwise(F.lit("*"))
-        kept = F.when(node["depth"] == 0, at["kept"]).otherwise(F.concat(at["kept"], F.array(name)))
-        return F.struct(purity.alias("purity"), kept.alias("kept"), rare.alias("rare"))
-
-    walked = path.withColumn("at", F.aggregate("path", start, step))
-    return walked.select("host", "segments", F.concat(F.lit("/"), F.array_join("at.kept", "/")).alias("template"), F.col("at.purity").alias("purity"))
+    prior = (blocked + 0.5) / (seen + 1.0)
+    return walked(totals.withColumnRenamed("host", "tree"), prior, min_rows, alpha, z).withColumnRenamed("tree", "host")
 
 
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, reject_at: float = 0.8, **options) -> DataFrame:

@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tabvet.llm import html_text as H
 from tabvet.llm import url_filter as U
 
@@ -49,6 +51,28 @@ def test_templates_learn_from_labelled_branches(spark):
     assert got["/de/3bad.com"].template == got["/de/4bad.com"].template
 
 
+def judged(spark, rows, **options):
+    """{(host, path): row} of the tree over (host, path, label) rows."""
+    df = spark.createDataFrame(rows, "host string, path string, label int").select("host", U.lexical_template(F.col("path")).alias("segments"), "label")
+    return {(r.host, "/" + "/".join(r.segments)): r for r in U.template_tree(df, **options).collect()}
+
+
+def test_merged_branches_pool_their_evidence(spark):
+    names = ["".join(chr(97 + int(c)) for c in f"{i:03d}") for i in range(300)]
+    rows = [("h.com", f"/{n}/spam", 1) for n in names] + [("h.com", f"/{n}/ham", 0) for n in names] + [("h.com", "/new/spam", None)]
+    got = judged(spark, rows)
+    assert got["h.com", "/new/spam"].template == "/*/spam" and got["h.com", "/new/spam"].purity > 0.9
+    assert got["h.com", f"/{names[0]}/ham"].purity < 0.1
+
+
+def test_alike_siblings_meet_and_deep_paths_are_told_apart(spark):
+    rows = [("h.com", f"/{a}/x", 1) for a in ("one", "two") for _ in range(40)] + [("h.com", f"/{a}/x", 0) for a in ("six", "ten") for _ in range(40)]
+    rows += [("g.com", f"/a/b/c/d/e/{x}", y) for x, y in (("bad", 1), ("good", 0)) for _ in range(40)] + [("g.com", "/a/b/c/d/e/bad", None)]
+    got = judged(spark, rows)
+    assert got["h.com", "/one/x"].template == got["h.com", "/two/x"].template != got["h.com", "/six/x"].template == got["h.com", "/ten/x"].template
+    assert got["g.com", "/a/b/c/d/e/bad"].purity > 0.9 and got["g.com", "/a/b/c/d/e/good"].purity < 0.1
+
+
 ARTICLE = " ".join(["the river was calm and it ran to the sea with a low sound of stones"] * 4)
 
 
