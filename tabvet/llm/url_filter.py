@@ -13,7 +13,10 @@
    - A prefix that holds one template only keeps its remaining segments; one below `min_rows` gets `*` for them.
 4. Purity: every node's share of labelled urls that are blocked, smoothed towards its parent (host towards all hosts); a
    node that holds all of its parent's labels, or none, takes the parent's purity.
-5. A template whose purity reaches `reject_at` is blocked.
+5. Back-off: the same tree is built of the templates pooled over all hosts. A template whose host has no labelled node
+   on its path below the host takes the purity of its pooled node, if that has labels below the root; then the host's
+   purity, and for a host without labels the prior of all urls.
+6. A template whose purity reaches `reject_at` is blocked.
 
 The labels are the urls that the rules decide, so nothing besides the url is read. Hosts are never gathered in one
 task: all groupings are sums with partial aggregates, and what meets per parent is at most `BANDS` + 2 rows.
@@ -174,22 +177,38 @@ def walked(totals: DataFrame, prior: float, min_rows: int, alpha: float, z: floa
 def template_tree(rows: DataFrame, min_rows: int = 5, alpha: float = 4.0, z: float = 1.96) -> DataFrame:
     """host, segments, template, purity, level for each (host, lexical template) of rows(host, segments, label).
 
-    label is 1 for blocked, 0 for allowed, null for unlabelled."""
+    label is 1 for blocked, 0 for allowed, null for unlabelled. level says what gave the purity: branch (a node below the
+    host), pooled (a template of all hosts), host or prior."""
     sums = [F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")]
     totals = materialize(rows.groupBy("host", "segments").agg(*sums))
     seen, blocked = totals.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
     prior = (blocked + 0.5) / (seen + 1.0)
-    return walked(totals.withColumnRenamed("host", "tree"), prior, min_rows, alpha, z).withColumnRenamed("tree", "host")
-
-
-def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, reject_at: float = 0.8, **options) -> DataFrame:
-    """page_id, host, path, rule, verdict, template, purity for every row of pages(page_id, url)."""
+    pooled = totals.groupBy("segments").agg(*[F.sum(c).alias(c) for c in SUMS])
+    named = lambda mark, host: F.concat(F.lit(mark), host)
+    both = totals.withColumn("tree", named("h", F.col("host"))).drop("host").unionByName(pooled.withColumn("tree", F.lit("p")))
+    trees = materialize(walked(both, prior, min_rows, alpha, z))
+    every = trees.where("tree = 'p'").select("segments", F.col("purity").alias("every"), F.col("level").alias("depth"))
+    own = trees.where("tree <> 'p'").withColumn("host", F.expr("substr(tree, 2)")).join(every, "segments")
+    back = (F.col("level") < 1) & (F.col("depth") > 0)
+    level = F.when(F.col("level") > 0, "branch").when(back, "pooled").when(F.col("level") == 0, "host").otherwise("prior")
+    return own.select("host", "segments", "template", F.when(back, F.col("every")).otherwise(F.col("purity")).alias("purity"), level.alias("level"))
+
+
+def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, reject_at: float = 0.8, **options) -> DataFrame:
+    """The rows of `url_filter` with the level (rule, branch, pooled, host or prior) that decides each."""
     text, says = fitting_rule(rules)
     rows = parsed(pages).select("page_id", "host", "path", text.alias("rule"), says.alias("says"), lexical_template(F.col("path")).alias("segments"))
     label = F.when(F.col("says") == "block", 1).when(F.col("says") == "allow", 0)
     tree = template_tree(rows.select("host", "segments", label.alias("label")), **options)
     verdict = F.coalesce("says", F.when(F.col("purity") >= reject_at, F.lit("block")).otherwise(F.lit("allow")))
-    return rows.join(tree, ["host", "segments"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    level = F.when(F.col("says").isNotNull(), "rule").otherwise(F.col("level"))
+    met = rows.join(tree, ["host", "segments"])
+    return met.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity", level.alias("level"))
+
+
+def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, reject_at: float = 0.8, **options) -> DataFrame:
+    """page_id, host, path, rule, verdict, template, purity for every row of pages(page_id, url)."""
+    return judged(pages, rules, reject_at, **options).drop("level")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,16 @@ def test_alike_siblings_meet_and_deep_paths_are_told_apart(spark):
     assert got["g.com", "/a/b/c/d/e/bad"].purity > 0.9 and got["g.com", "/a/b/c/d/e/good"].purity < 0.1
 
 
+def test_hosts_without_labels_back_off_to_pooled_templates(spark):
+    """A template that is blocked on all labelled hosts is blocked on a host without labels; other branches are not."""
+    bad = [f"http://h{i}.com/de/{i}" for i in range(60)] + [f"http://h{i}.com/fr/{i}" for i in range(60)]
+    new = ["http://casino.win/de/1", "http://casino.win/fr/2", "http://casino.win/shop/x"]
+    got = {(r.host, r.path): r for r in U.judged(pages(spark, bad + new)).collect()}
+    assert got["casino.win", "/de/1"].verdict == "block" and got["casino.win", "/de/1"].level == "pooled"
+    assert got["casino.win", "/fr/2"].verdict == "allow" and got["casino.win", "/fr/2"].level == "pooled"
+    assert got["casino.win", "/shop/x"].level == "prior" and got["h3.com", "/de/3"].level == "rule"
+
+
 ARTICLE = " ".join(["the river was calm and it ran to the sea with a low sound of stones"] * 4)
 
 
