@@ -192,3 +192,24 @@ def test_pipeline_stages(spark, sf):
     assert all(n <= 3 * size[i] for i, n in taken.items()) and abs(sum(taken.values()) - sum(size.values())) < 0.05 * sum(size.values())
     out = stages[4](spark, mix, sf)
     assert out.count() == mix.count() and out.where("size(ids) <> n_tokens").count() == 0
+
+
+def test_pipeline_keeps_one_row_of_each_text(spark):
+    """Repeated ids, null ids and repeated rows: every text stays once, with the row of the smallest id."""
+    import corpus_pipeline as P
+
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "abcd")
+    near = d.split()
+    near[30] = "changed"
+    rows = [(5, a), (5, b), (3, b), (7, a), (None, c), (None, c), (9, c), (None, d), (None, " ".join(near)), (11, "x y z"), (11, "x  y z"), (None, None), (12, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    single = P.without_copies(spark, docs, "")
+    want = {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        want.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), i)
+    assert single.columns == P.COLUMNS
+    assert Counter((re.sub(r"[\x20\x09-\x0D]+", " ", r.text or ""), r.doc_id) for r in single.collect()) == Counter(want.items())
+    apart = Counter((r.doc_id, r.text) for r in P.without_near_copies(spark, docs, "").collect())
+    assert sum(apart.values()) == 7 and apart[5, a] == apart[3, b] == apart[9, c] == apart[None, None] == apart[12, ""] == 1
+    assert apart[None, d] + apart[None, " ".join(near)] == 1 and apart[11, "x y z"] + apart[11, "x  y z"] == 1
