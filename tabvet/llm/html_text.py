@@ -5,7 +5,9 @@ styles, forms and other non-text elements is no text. Each block knows its lengt
 of characters inside links, and the structure it stands in.
 
 Pass 1 (context-free) calls a block boilerplate when it stands in a menu, header, footer, sidebar, notice, advert or
-comment element (by element name, role, or words of its class and id), or when its link density is high; good when it
+comment element (by element name, role, the attribute hidden, or words of its class and id), or when its link density
+is high. Words of class and id do not count above an article or main element, nor where the element so named holds most
+of the page's long text rich in stop words: there the block's own text decides. Otherwise a block is good when it
 is long enough and rich in stop words, or long and free of links inside the article element; near-good or short
 otherwise.
 Pass 2 (context-sensitive): an undecided block inherits the label of its nearest decided neighbours: good when both
@@ -60,7 +62,7 @@ BAD_WORDS = re.compile(
     r"footer|header|masthead|comments?|disqus|replies|pagination|pager|toolbar|copyright)(?:$|[\s_-])",
     re.I,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|["'][^"']*["']?|.""", re.S)
 WORD = re.compile(r"[^\W\d_]+")
 SPACE = re.compile(r"\s+")
 LENGTH_LOW, LENGTH_HIGH = 70, 200
@@ -69,32 +71,54 @@ LINKS_HIGH = 0.33
 GOOD, BAD, OPEN = 1, -1, 0
 
 
-def marks_boilerplate(name: str, rest: str) -> bool:
+NO, WORDS, SURE = 0, 1, 2  # what a mark as boilerplate rests on
+
+
+def mark(name: str, rest: str) -> int:
+    """SURE for elements, roles and hidden ones, WORDS for words of class and id, which wrappers of whole pages may bear."""
     if name in BAD_ELEMENTS:
-        return True
-    if not rest or name in ("html", "body", "article", "main"):
-        return False
+        return SURE
+    if not rest or name in ("html", "body"):
+        return NO
+    found, seen = NO, set()
     for key, value in ATTRIBUTE.findall(rest):
-        key, value = key.lower(), value.strip("\"'")
-        if key == "role" and value.lower() in BAD_ROLES or key in ("class", "id") and BAD_WORDS.search(value):
-            return True
+        key, value = key.lower(), value.strip("\"'").strip()
+        if not key or key in seen:  # of repeated attributes the first counts
+            continue
+        seen.add(key)
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+            return SURE
+        if name in ("article", "main"):
+            continue
+        if key == "role" and value.lower() in BAD_ROLES:
+            return SURE
+        if key in ("class", "id") and BAD_WORDS.search(value):
+            found = WORDS
+    return found
+
+
+class Wrapper:
+    """An element with a boilerplate word in its class or id, or an article or main element that takes back such words."""
+
+    __slots__ = ("above", "articles", "at", "bad", "resets", "rich")
+
+    def __init__(self, above: Wrapper | None, at: int, resets: bool):
+        self.above, self.at, self.resets, self.rich, self.articles, self.bad = above, at, resets, 0, 0, False
 
 
 class Block:
-    __slots__ = ("article", "bad", "heading", "links", "text")
+    __slots__ = ("article", "bad", "heading", "links", "text", "wrapped")
 
-    def __init__(self, text: str, links: int, bad: bool, article: bool, heading: bool):
-        self.text, self.links, self.bad, self.article, self.heading = text, links, bad, article, heading
+    def __init__(self, text: str, links: int, bad: bool, article: bool, heading: bool, wrapped: Wrapper | None):
+        self.text, self.links, self.bad, self.article, self.heading, self.wrapped = text, links, bad, article, heading, wrapped
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in page order."""
     found: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate and article up to here
+    stack: list[tuple[str, bool, bool, Wrapper | None]] = []  # name, surely boilerplate, article and wrapper up to here
+    top = ("", False, False, None)
     open_ = Counter()  # how often each name is on the stack
 
     def leave() -> str:
@@ -107,8 +131,8 @@ def blocks(page: str) -> list[Block]:
             text = SPACE.sub(" ", "".join(t for t, _ in parts)).strip()
             if text:
                 links = sum(len(t) for t, linked in parts if linked)
-                _, bad, article = stack[-1] if stack else ("", False, False)
-                found.append(Block(text, links, bad, article, any(n in ("h1", "h2", "h3", "h4", "h5", "h6") for n, _, _ in stack[-3:])))
+                _, bad, article, wrapped = stack[-1] if stack else top
+                found.append(Block(text, links, bad, article, any(e[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for e in stack[-3:]), wrapped))
             parts.clear()
 
     def add(text: str) -> None:
@@ -136,9 +160,12 @@ def blocks(page: str) -> list[Block]:
                     leave()
                 if name != "p" and stack and stack[-1][0] == "p" or name == "p" and stack and stack[-1][0] == "p":
                     leave()
-            _, bad, article = stack[-1] if stack else ("", False, False)
+            _, bad, article, wrapped = stack[-1] if stack else top
             open_[name] += 1
-            stack.append((name, bad or marks_boilerplate(name, m["rest"]), article or name in ("article", "main")))
+            own, resets = mark(name, m["rest"]), name in ("article", "main")
+            if own == WORDS or resets and wrapped:
+                wrapped = Wrapper(wrapped, m.start(), resets)
+            stack.append((name, bad or own == SURE, article or resets, wrapped))
     tail = page[at:]
     cut = re.search(r"<[a-zA-Z!/?]", tail)  # the file ends inside a tag
     add(tail[: cut.start()] if cut else tail)
@@ -146,12 +173,52 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
+def stop_words(page: list[Block], words: list[list[str]]) -> frozenset[str]:
+    common = Counter(w for b, some in zip(page, words) if not b.bad for w in some if len(w) <= 4)
+    total = sum(map(len, words))
+    return STOP_WORDS | {w for w, n in common.items() if n >= max(3, total / 200)}
+
+
+def judge_wrappers(page: list[Block], words: list[list[str]]) -> None:
+    """Blocks inside an element with a boilerplate word become boilerplate, unless it wraps the page's content.
+
+    It does when it holds more than half of the text of all long blocks rich in stop words, and some of those in article
+    or main elements if there are such."""
+    stops = stop_words(page, words)
+    every: dict[int, Wrapper] = {}
+    rich = articles = 0
+    for b, some in zip(page, words):
+        w = b.wrapped
+        while w and w.at not in every:
+            every[w.at] = w
+            w = w.above
+        share = sum(x in stops for x in some) / len(some) if some else 0.0
+        size = len(b.text)
+        if b.bad or size < LENGTH_LOW or b.links / size > LINKS_HIGH or share < (STOPS_LOW if size >= LENGTH_HIGH else STOPS_HIGH):
+            continue
+        rich, articles = rich + size, articles + size * b.article
+        if b.wrapped:
+            b.wrapped.rich += size
+            b.wrapped.articles += size * b.article
+    for at in sorted(every, reverse=True):  # inner ones first
+        w = every[at]
+        if w.above:
+            w.above.rich += w.rich
+            w.above.articles += w.articles
+    for at in sorted(every):
+        w = every[at]
+        holds = 2 * w.rich > rich and (w.articles > 0 or not articles)
+        w.bad = not w.resets and (not holds or bool(w.above and w.above.bad))
+    for b in page:
+        b.bad = b.bad or bool(b.wrapped and b.wrapped.bad)
+
+
 def labels(page: list[Block]) -> list[int]:
     """GOOD or BAD for each block."""
     words = [[w.lower() for w in WORD.findall(b.text)] for b in page]
-    common = Counter(w for b, some in zip(page, words) if not b.bad for w in some if len(w) <= 4)
-    total = sum(map(len, words))
-    stops = STOP_WORDS | {w for w, n in common.items() if n >= max(3, total / 200)}
+    if any(b.wrapped for b in page):
+        judge_wrappers(page, words)
+    stops = stop_words(page, words)
     first = []
     for b, some in zip(page, words):
         share = sum(w in stops for w in some) / len(some) if some else 0.0

@@ -119,3 +119,18 @@ def test_extraction_equals_the_articles_of_the_pages(spark, sf):
         want = "\n".join(b for b in blocks if b)
         a, b = Counter(want.split()), Counter(got[r.page_id].split())
         assert sum((a - b).values()) + sum((b - a).values()) <= 0.02 * sum(a.values())
+
+
+def test_wrappers_and_attribute_values_do_not_hide_the_article():
+    inside = [f"<p>{ARTICLE}</p>", f"<article><p>{ARTICLE}</p></article>", f"<div class='post'><p>{ARTICLE}</p></div>"]
+    wrappers = [
+        'style="overflow:hidden"', 'data-hidden="false"', 'title="a hidden gem"', "title='class=\"menu\" hidden'", 'data-class="menu"',
+        'class="has-sidebar"', 'id="no-sidebar"', 'class="page header-fixed"', "class=no-sidebar",
+    ]
+    for text in inside:
+        for attributes in wrappers:
+            page = f"<body><div {attributes}><div class='menu'>Home and more</div>{text}<div class='comments'><p>{ARTICLE[:150]}</p></div></div>"
+            assert H.main_text(page) == ARTICLE, (attributes, text)
+    for attributes in ("hidden", "HIDDEN=''", "class=x hidden", 'aria-hidden="true"', 'hidden="until-found"'):
+        assert H.main_text(f"<body><p>{ARTICLE}</p><div {attributes}><p>{ARTICLE} unseen</p></div>") == ARTICLE, attributes
+        assert H.main_text(f"<body><article {attributes}><p>{ARTICLE}</p></article>") == "", attributes
