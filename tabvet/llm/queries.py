@@ -7,6 +7,7 @@ from tabvet.llm.jaccard_join import op9
 from tabvet.llm.language import op8
 from tabvet.llm.mix import op1
 from tabvet.llm.quality import op7
+from tabvet.llm.runs import OP11_SQL, op11
 from tabvet.llm.token_counts import op4
 from tabvet.llm.url_filter import op3
 from tabvet.llm.vector_search import op10
@@ -22,8 +23,10 @@ QUERIES = {
     "op8_language": op8,
     "op9_jaccard_join": op9,
     "op10_vector_search": op10,
+    "op11_periodic_runs": op11,
 }
 
 ORACLE_SQL = {
     "op5_exact_dedup": OP5_SQL,
+    "op11_periodic_runs": OP11_SQL,
 }
