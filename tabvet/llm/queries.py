@@ -5,6 +5,7 @@ from tabvet.llm.exact_dedup import OP5_SQL, op5
 from tabvet.llm.html_text import op6
 from tabvet.llm.jaccard_join import op9
 from tabvet.llm.language import op8
+from tabvet.llm.merkle import OP12_SQL, op12
 from tabvet.llm.mix import op1
 from tabvet.llm.quality import op7
 from tabvet.llm.runs import OP11_SQL, op11
@@ -24,9 +25,11 @@ QUERIES = {
     "op9_jaccard_join": op9,
     "op10_vector_search": op10,
     "op11_periodic_runs": op11,
+    "op12_merkle_manifest": op12,
 }
 
 ORACLE_SQL = {
     "op5_exact_dedup": OP5_SQL,
     "op11_periodic_runs": OP11_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
