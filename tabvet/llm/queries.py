@@ -10,6 +10,7 @@ from tabvet.llm.mix import op1
 from tabvet.llm.quality import op7
 from tabvet.llm.runs import OP11_SQL, op11
 from tabvet.llm.token_counts import op4
+from tabvet.llm.toxicity import op13
 from tabvet.llm.url_filter import op3
 from tabvet.llm.vector_search import op10
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_vector_search": op10,
     "op11_periodic_runs": op11,
     "op12_merkle_manifest": op12,
+    "op13_toxicity": op13,
 }
 
 ORACLE_SQL = {
