@@ -6,8 +6,9 @@ group's subroot, remains. The subroots, ordered by group, give the root in the s
 
 Method: the built levels are stored as parent-linked node rows, each with its children's digests and the link to its
 own parent. A recursive query of Spark SQL then ascends from every leaf: a step joins the rows with their parents by
-the link, gives the siblings of that step and folds the digest of the row's present contents. The steps of a leaf,
-put together in order, are its proof; what the last one folds is compared with the root.
+the link, appends the siblings of that step and folds the digest of the row's present contents. What the last step folds is
+compared with the root. From the second step on, the leaves of one run climb the same way, so the first leaf of a run tells
+the siblings of these steps for all of it, and the run's own digests, of which each leaf leaves out its own.
 
 Nothing depends on one group's size: leaves are numbered by a range sort over (group, id, leaf) whose partitions are
 counted and offset, so a group or an id that holds a third of all rows lies over many tasks, and levels are aggregates
@@ -129,17 +130,18 @@ def manifest(leaves: DataFrame, group: str, order: str) -> tuple[DataFrame, Data
     return stored, materialize(nodes.withColumn("copy", F.explode(F.sequence(F.lit(0), copies(F.col("level"), F.col("tree")) - 1))))
 
 
-#: One step: siblings are the parent's other children, left to right; folded is the parent's digest with this row's own.
+#: One step: folded is the parent's digest with this row's own in its place. First leaves also tell what they pass: the run's
+#: digests at the first step within their tree, at others the parent's other children, left to right.
 CLIMB = """
-WITH RECURSIVE climb(leaf_tree, leaf_idx, step, up_tree, up_level, up_idx, up_copies, place, folded, siblings, subroot, root) AS (
-  SELECT tree, idx, 0, up_tree, up_level, up_idx, up_copies, place, present, CAST(NULL AS BINARY),
-         IF(n = 1, leaf, NULL), IF(up_tree IS NULL, leaf, NULL)
+WITH RECURSIVE climb(leaf_tree, leaf_idx, step, up_tree, up_level, up_idx, up_copies, place, folded, told, subroot, root) AS (
+  SELECT tree, idx, 0, up_tree, up_level, up_idx, up_copies, place, unhex(present), CAST(NULL AS BINARY),
+         IF(idx % {fanout} = 0 AND n = 1, unhex(leaf), NULL), IF(idx % {fanout} = 0 AND up_tree IS NULL, unhex(leaf), NULL)
   FROM {leaves}
   UNION ALL
   SELECT leaf_tree, leaf_idx, step + 1, p.up_tree, p.up_level, p.up_idx, p.up_copies, p.place,
-         sha2(CAST(concat(left(kids, 64 * c.place), folded, substr(kids, 64 * c.place + 65)) AS BINARY), 256),
-         unhex(concat(left(kids, 64 * c.place), substr(kids, 64 * c.place + 65))),
-         IF(p.n = 1 AND p.tree <> {top}, p.hash, NULL), IF(p.up_tree IS NULL, p.hash, NULL)
+         unhex(sha2(CAST(concat(left(kids, 64 * c.place), lower(hex(folded)), substr(kids, 64 * c.place + 65)) AS BINARY), 256)),
+         IF(leaf_idx % {fanout} = 0, unhex(IF(step = 0 AND p.tree = leaf_tree, kids, concat(left(kids, 64 * c.place), substr(kids, 64 * c.place + 65)))), NULL),
+         IF(leaf_idx % {fanout} = 0 AND p.n = 1 AND p.tree <> {top}, unhex(p.hash), NULL), IF(leaf_idx % {fanout} = 0 AND p.up_tree IS NULL, unhex(p.hash), NULL)
   FROM climb c JOIN {nodes} p
     ON c.up_tree = p.tree AND c.up_level = p.level AND c.up_idx = p.idx AND c.leaf_idx % c.up_copies = p.copy
 )
@@ -147,20 +149,19 @@ SELECT * FROM climb
 """
 
 
-def climbed(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
-    """leaf_tree, leaf_idx, subroot, root, proof (hex text of all siblings), folded for each row of leaves.
+def climbed(leaves: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(leaf_tree, leaf_idx, folded) of every leaf's last step, and (of, run, told, subroot, root) of every run of leaves.
 
     leaves hold present, the leaf of the contents to check, besides the one in the manifest. Spark stops a recursive
     query after a fixed number of rows unless told otherwise; here the number of steps is the depth of the tree."""
     spark = leaves.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    query = CLIMB.format(leaves="{leaves}", nodes="{nodes}", top=TOP)
-    steps = spark.sql(query, leaves=leaves, nodes=nodes)
-    siblings = F.transform(F.sort_array(F.collect_list(F.when(F.col("siblings").isNotNull(), F.struct("step", "siblings")))), lambda s: F.lower(F.hex(s.siblings)))
-    return steps.groupBy("leaf_tree", "leaf_idx").agg(
-        F.max("subroot").alias("subroot"), F.max("root").alias("root"),
-        F.array_join(siblings, "").alias("proof"), F.max_by("folded", "step").alias("folded"),
-    )
+    query = CLIMB.format(leaves="{leaves}", nodes="{nodes}", top=TOP, fanout=FANOUT)
+    steps = materialize(spark.sql(query, leaves=leaves, nodes=nodes).where(f"up_tree IS NULL OR leaf_idx % {FANOUT} = 0"))
+    last = steps.where("up_tree IS NULL").select("leaf_tree", "leaf_idx", F.lower(F.hex("folded")).alias("folded"))
+    told = F.transform(F.sort_array(F.collect_list(F.when(F.col("told").isNotNull(), F.struct("step", "told")))), lambda s: s.told)
+    runs = steps.where(f"leaf_idx % {FANOUT} = 0").groupBy(F.col("leaf_tree").alias("of"), F.floor(F.col("leaf_idx") / FANOUT).cast("long").alias("run"))
+    return last, runs.agg(told.alias("told"), F.lower(F.hex(F.max("subroot"))).alias("subroot"), F.lower(F.hex(F.max("root"))).alias("root"))
 
 
 def verified(rows: DataFrame, present: Column, columns: tuple[str, ...] = COLUMNS, group: str = "lang", order: str = "doc_id") -> DataFrame:
@@ -169,9 +170,15 @@ def verified(rows: DataFrame, present: Column, columns: tuple[str, ...] = COLUMN
     Returns order, group, leaf, subroot, root, proof, folded_root and verified for every row."""
     leaves = rows.select(F.col(order), F.col(group), leaf([F.col(c) for c in columns]).alias("leaf"), present.alias("present"))
     placed, nodes = manifest(leaves, group, order)
-    proofs = climbed(placed, nodes)
-    found = placed.join(proofs, (F.col("tree") == F.col("leaf_tree")) & (F.col("idx") == F.col("leaf_idx")))
-    return found.select(order, group, "leaf", "subroot", "root", "proof", F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+    last, runs = climbed(placed, nodes)
+    found = placed.join(last, (F.col("tree") == F.col("leaf_tree")) & (F.col("idx") == F.col("leaf_idx")))
+    found = found.join(runs, (F.col("tree") == F.col("of")) & (F.floor(F.col("idx") / FANOUT) == F.col("run")))
+    text = F.transform("told", lambda t: F.lower(F.hex(t)))
+    own, place = F.element_at(text, 1), (F.col("idx") % FANOUT).cast("int")
+    others = F.concat(F.substring(own, F.lit(1), 64 * place), F.substring(own, 64 * place + 65, F.length(own)))
+    proof = F.when(F.col("n") > 1, F.concat(others, F.array_join(F.slice(text, 2, F.size(text)), ""))).otherwise(F.array_join(text, ""))
+    folded = F.col("folded")
+    return found.select(order, group, "leaf", "subroot", "root", proof.alias("proof"), folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
 
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
