@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 def _load_all() -> None:
     from tabvet.plans import (  # noqa: F401
         q_infer, q_profile, q_validate, q_drift, q_evaluate, q_monitor, q_text, q_clean, q_features, q_train,
-        q_sources, q_streaming, q_dataset, q_scores,
+        q_sources, q_streaming, q_dataset, q_scores, q_explain, q_ranges,
     )
 
 

@@ -93,35 +93,45 @@ def error_rate_alerts_stream(events: DataFrame, window: str = "1 hour", watermar
 
 # ------------------------------------------------------------------ M3
 def prediction_state_stream(events: DataFrame, key, conf, ts: str = "ts", tie: str = "event_id",
-                            window: int = 100, recent: int = 10) -> DataFrame:
+                            window: int = 100, recent: int = 10, expire_after: str = "30 days", watermark: str = "1 day") -> DataFrame:
     """Ring buffer of the last `window` confidences per model in streaming state; after every
-    micro-batch emits per model: records seen, buffer size, buffer mean / population std and
-    the number of the newest `recent` records below mean - 2 std (L3 rule)."""
-    src = events.select(key.alias("model"), F.col(ts).alias("ts"), F.col(tie).cast("long").alias("tie"),
-                        conf.cast("double").alias("conf"))
-    out_schema = "model string, seen long, buffered long, mean_conf double, std_conf double, n_anomalies long"
-    state_schema = "seen long, ts array<timestamp>, tie array<long>, conf array<double>"
+    micro-batch emits per model: records seen, buffer size, buffer mean / population std,
+    the number of the newest `recent` records below mean - 2 std (L3 rule), and expired.
+
+    State ends in event time: once the watermark passes a model's newest record by `expire_after`, its state is removed
+    and one last row says expired, with nothing buffered. A model that comes back starts from nothing. Records older than
+    the watermark are late and dropped before they reach the state; records without a time are dropped too."""
+    src = _event_time(events.select(key.alias("model"), F.col(ts).alias("ts"), F.col(tie).cast("long").alias("tie"),
+                                    conf.cast("double").alias("conf")), "ts").where(F.col("ts").isNotNull())
+    src = src.withWatermark("ts", watermark).withColumn("ms", F.unix_millis("ts"))
+    idle = int(pd.Timedelta(expire_after).total_seconds() * 1000)
+    out_schema = "model string, seen long, buffered long, mean_conf double, std_conf double, n_anomalies long, expired boolean"
+    state_schema = "seen long, ms array<long>, tie array<long>, conf array<double>"
+
+    def row(k, seen, c, expired):
+        mean, std = (float(c.mean()), float(c.std())) if len(c) else (np.nan, np.nan)
+        n_anom = int((c[-recent:] < mean - 2 * std).sum()) if len(c) >= 10 else 0
+        return pd.DataFrame({"model": [k[0]], "seen": [seen], "buffered": [len(c)], "mean_conf": [mean],
+                             "std_conf": [std], "n_anomalies": [n_anom], "expired": [expired]})
 
     def update(k, pdfs, state):
-        if state.exists:
-            seen, ts_, tie_, conf_ = state.get
-            buf = pd.DataFrame({"ts": list(ts_), "tie": list(tie_), "conf": list(conf_)})
-        else:
-            seen, buf = 0, pd.DataFrame({"ts": [], "tie": [], "conf": []})
+        if state.hasTimedOut:
+            seen = state.get[0]
+            state.remove()
+            yield row(k, seen, np.array([]), True)
+            return
+        seen, ms, tie_, conf_ = state.get if state.exists else (0, [], [], [])
+        buf = pd.DataFrame({"ms": list(ms), "tie": list(tie_), "conf": list(conf_)})
         for pdf in pdfs:
             seen += len(pdf)
-            buf = pd.concat([buf, pdf[["ts", "tie", "conf"]]], ignore_index=True)
-            buf = buf.sort_values(["ts", "tie"]).tail(window)
-        state.update((int(seen), buf["ts"].tolist(), [int(x) for x in buf["tie"]], [float(x) for x in buf["conf"]]))
-        c = buf["conf"].to_numpy(dtype=float)
-        mean, std = (float(c.mean()), float(c.std())) if len(c) else (np.nan, np.nan)
-        newest = c[-recent:]
-        n_anom = int((newest < mean - 2 * std).sum()) if len(c) >= 10 else 0
-        yield pd.DataFrame({"model": [k[0]], "seen": [seen], "buffered": [len(c)], "mean_conf": [mean],
-                            "std_conf": [std], "n_anomalies": [n_anom]})
+            buf = pd.concat([buf, pdf[["ms", "tie", "conf"]]], ignore_index=True)
+            buf = buf.sort_values(["ms", "tie"]).tail(window)
+        state.update((int(seen), [int(x) for x in buf["ms"]], [int(x) for x in buf["tie"]], [float(x) for x in buf["conf"]]))
+        state.setTimeoutTimestamp(max(int(buf["ms"].max()) + idle, state.getCurrentWatermarkMs() + 1))
+        yield row(k, seen, buf["conf"].to_numpy(dtype=float), False)
 
     return src.groupBy("model").applyInPandasWithState(update, out_schema, state_schema, "update",
-                                                        GroupStateTimeout.NoTimeout)
+                                                        GroupStateTimeout.EventTimeTimeout)
 
 
 # ------------------------------------------------------------------ M4
