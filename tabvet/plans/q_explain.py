@@ -42,7 +42,7 @@ def _shuffle_sql(r: int) -> str:
 
 # ------------------------------------------------------------------ H9
 REPEATS = 3
-ORDER = [F.col(c) for c in (*KEYS, "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag")]  # the keys repeat
+ORDER = [*KEYS, "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag"]  # the keys repeat
 _H9 = [
     f"""b AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag) AS i FROM lineitem)""",
     "base AS (SELECT avg(CASE WHEN y = CASE WHEN " + _score_sql() + " >= 0 THEN 1.0 ELSE 0.0 END THEN 1.0 ELSE 0.0 END) AS baseline FROM b)",
@@ -62,7 +62,7 @@ def _marked(spark, d):
   {r6('stddev_pop(drop)')} AS importance_std FROM d GROUP BY feature"""))
 def h9_permutation_importance(spark, d):
     score = X.linear_scorer(COEF, INTERCEPT, 0.0)
-    return round_doubles(X.permutation_importance(score, _marked(spark, d), list(COEF), "y", ORDER, [_shuffle(r) for r in range(REPEATS)]))
+    return round_doubles(X.permutation_importance(score, _marked(spark, d), list(COEF), "y", [F.col(c) for c in ORDER], [_shuffle(r) for r in range(REPEATS)]))
 
 
 @query("h9_model_importance")
@@ -71,7 +71,7 @@ def h9_model_importance(spark, d):
     labels = model.stages[0].labels
     y = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(TARGET)) - 1
     rows = _data(spark, d).withColumn("y", y.cast("double"))
-    return round_doubles(X.permutation_importance(X.model_scorer(model, FEATS), rows, FEATS, "y", ORDER, [_shuffle(r) for r in range(REPEATS)]))
+    return round_doubles(X.permutation_importance(X.model_scorer(model, FEATS), rows, FEATS, "y", [F.col(c) for c in ORDER], [_shuffle(r) for r in range(REPEATS)]))
 
 
 # ------------------------------------------------------------------ I12
