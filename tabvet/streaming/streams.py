@@ -100,7 +100,7 @@ def prediction_state_stream(events: DataFrame, key, conf, ts: str = "ts", tie: s
 
     State ends in event time: once the watermark passes a model's newest record by `expire_after`, its state is removed
     and one last row says expired, with nothing buffered. A model that comes back starts from nothing. Records older than
-    the watermark are late and dropped before they reach the state; records without a time are dropped too."""
+    the watermark are late and dropped; records without a time are dropped too."""
     src = _event_time(events.select(key.alias("model"), F.col(ts).alias("ts"), F.col(tie).cast("long").alias("tie"),
                                     conf.cast("double").alias("conf")), "ts").where(F.col("ts").isNotNull())
     src = src.withWatermark("ts", watermark).withColumn("ms", F.unix_millis("ts"))
@@ -122,10 +122,14 @@ def prediction_state_stream(events: DataFrame, key, conf, ts: str = "ts", tie: s
             return
         seen, ms, tie_, conf_ = state.get if state.exists else (0, [], [], [])
         buf = pd.DataFrame({"ms": list(ms), "tie": list(tie_), "conf": list(conf_)})
+        late = state.getCurrentWatermarkMs()
         for pdf in pdfs:
+            pdf = pdf[pdf["ms"] >= late]
             seen += len(pdf)
-            buf = pd.concat([buf, pdf[["ms", "tie", "conf"]]], ignore_index=True)
+            buf = pd.concat([buf, pdf[["ms", "tie", "conf"]]], ignore_index=True) if len(buf) else pdf[["ms", "tie", "conf"]]
             buf = buf.sort_values(["ms", "tie"]).tail(window)
+        if not len(buf):
+            return
         state.update((int(seen), [int(x) for x in buf["ms"]], [int(x) for x in buf["tie"]], [float(x) for x in buf["conf"]]))
         state.setTimeoutTimestamp(max(int(buf["ms"].max()) + idle, state.getCurrentWatermarkMs() + 1))
         yield row(k, seen, buf["conf"].to_numpy(dtype=float), False)

@@ -75,12 +75,33 @@ def test_components_equal_brute_force_on_documents(spark, sf):
 
 
 def test_bound_never_excludes_a_link(spark):
-    """needed() is at most what any linked pair of these sizes shares within both prefixes."""
+    """needed() is at most what any linked pair of these sizes shares within both prefixes, alone or in groups of other sizes."""
+
+    def shared(n, s):
+        return max(1, -(-3 * (n + s) // 7) - max(n, s) + J.prefix_length(max(n, s)))
+
     sizes = [(n, s) for n in range(1, 80) for s in range(1, 80) if min(n, s) >= 0.75 * max(n, s)]
-    df = spark.createDataFrame(sizes, "n int, s int").select("n", "s", J.needed(F.col("n"), F.col("s"), F.col("s")).alias("k"))
-    for n, s, k in df.collect():
-        overlap = -(-3 * (n + s) // 7)
-        assert k <= max(1, overlap - max(n, s) + J.prefix_length(max(n, s))), (n, s, k)
+    rng = random.Random(7)
+    rows = [(n, n, s, s, shared(n, s)) for n, s in sizes]
+    for _ in range(4000):
+        a, b = sorted((rng.randrange(1, 60), rng.randrange(1, 60))), sorted((rng.randrange(1, 60), rng.randrange(1, 60)))
+        linked = [shared(n, s) for n in range(a[0], a[1] + 1) for s in range(b[0], b[1] + 1) if min(n, s) >= 0.75 * max(n, s)]
+        if linked:
+            rows.append((*a, *b, min(linked)))
+    df = spark.createDataFrame(rows, "a_lo int, a_hi int, lo int, hi int, most int")
+    assert df.where(J.needed(*[F.col(c) for c in ("a_lo", "a_hi", "lo", "hi")]) > F.col("most")).count() == 0
+
+
+def test_a_hot_group_is_opened_in_parts(spark, monkeypatch):
+    """Unlinked variants of one text, which share most shingles, and many documents that meet one group."""
+    monkeypatch.setattr(J, "PART", 4096)
+    monkeypatch.setattr(J, "GROUP", 8)
+    rng = random.Random(11)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(120)]
+    texts = [edited(rng, base, rng.randrange(1, 12)) for _ in range(160)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in J.jaccard_components(docs).collect()) == brute_components(rows)
 
 
 def test_star_forest(spark):
