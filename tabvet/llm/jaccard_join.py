@@ -11,11 +11,13 @@ work is on classes. Two sets link when 100 * intersection >= 75 * union.
    documents are compared with the few hubs they are sent to, and stars of verified links form the first components:
    copies of one text meet their hub, not each other. Groups of about `GROUP` similar documents are parts of one star,
    or documents that name the same hub without being linked to it.
-3. Token-group matrix. The union of the prefixes of a group is a row of the matrix, stored as (shingle, group). A query
-   document of another star meets a group only over shared shingles; the number of its prefix shingles found in
-   the group's union bounds the overlap with every member (see `needed`).
-4. Only groups that pass are opened: the bound is first taken again over the full union, and then the query is
-   compared with all members in one pass over the group's shingles. The links join the components.
+3. Token-group matrix. The union of the prefixes of a group is a row of the matrix, stored as (shingle, group). Rows of
+   the matrix meet over shared shingles, group against group: the number of shingles that two unions share bounds the
+   overlap of every query of the one with every member of the other (see `needed`). Queries meet only the groups that
+   their own group passes.
+4. Only groups that pass are opened: the bound is taken again for each query over the group's full union, and then the query
+   is compared with all members in one pass over the group's shingles. The links join the components. A group's sets
+   travel once for each `PART` bytes of queries, not once a query.
 
 Sets are recomputed from the texts for those documents only that some comparison needs. A Bloom filter of fixed size
 picks them on the map side, so texts are never shuffled; a filter that is too full only lets more sets through.
@@ -49,6 +51,7 @@ CHUNK = 1 << 21  # shingles that a task counts at once for its report
 REPORT = 1 << 16
 GROUP = 64
 FILTER_BITS = 1 << 24
+PART = 1 << 20  # bytes of the queries' sets that meet one copy of a group's sets
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
@@ -87,17 +90,18 @@ def prefix(found: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray
     return found[np.argpartition(key, p - 1)[:p]]
 
 
-def needed(n: Column, lo: Column, hi: Column) -> Column:
-    """Least number of a query's prefix shingles in a group's union that a link with some member asks for.
+def needed(a_lo: Column, a_hi: Column, lo: Column, hi: Column) -> Column:
+    """Least number of shingles in both unions that a link between members of two groups asks for, by their sizes' ranges.
 
     With sizes n and s a link needs 3/7 (n + s) common shingles, and at most the larger set's size less its prefix can
-    lie beyond both prefixes. In s the bound rises up to n and falls after, so the ends of the members' range give it."""
+    lie beyond both prefixes. That rises with the smaller set and falls with the larger one, so the smallest feasible
+    small set with the largest that may link to it gives the bound, for either group as the one with the smaller sets."""
+    ratio = F.lit(PERCENT / 100)
 
-    def at(s: Column) -> Column:
-        return F.floor(F.lit(3.0 / 7.0) * (n + s) - F.lit(PERCENT / 100) * F.greatest(n, s) + F.lit(1e-6))
+    def least(small: Column, top: Column) -> Column:
+        return F.floor(F.lit(3.0 / 7.0) * small - (ratio - F.lit(3.0 / 7.0)) * F.least(top, small / ratio) + F.lit(1e-6))
 
-    small, large = F.greatest(lo, n * F.lit(PERCENT / 100)), F.least(hi, n / F.lit(PERCENT / 100))
-    return F.greatest(F.lit(1), F.least(at(small), at(large)))
+    return F.greatest(F.lit(1), F.least(least(F.greatest(a_lo, lo * ratio), hi), least(F.greatest(lo, a_lo * ratio), a_hi)))
 
 
 def first_pass(docs: DataFrame) -> DataFrame:
@@ -202,30 +206,32 @@ def sets_of(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame
     return found.join(wanted.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
 
 
-def opened(pairs: DataFrame) -> DataFrame:
-    """(u, v) linked, from pairs(q, q_tokens, members: array of struct(class, tokens)): bound by the union, then open."""
+def opened(rows: DataFrame) -> DataFrame:
+    """(u, v) linked, from rows(queries, members: arrays of struct(class, tokens)): bound by the union, then open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [], []
-            for q, raw, members in zip(batch.column(0), batch.column(1), batch.column(2)):
-                query = np.frombuffer(raw.as_py(), np.int64)
+            for queries, members in zip(batch.column(0), batch.column(1)):
                 found = members.as_py()
                 parts = [np.frombuffer(m["tokens"], np.int64) for m in found]
                 matrix = np.concatenate(parts)
                 owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-                at = np.minimum(np.searchsorted(query, matrix), len(query) - 1)
-                hits = query[at] == matrix
-                if 100 * len(np.unique(at[hits])) < PERCENT * len(query):  # the union holds too few of the query's shingles
-                    continue
-                common = np.bincount(owner[hits], minlength=len(parts))
-                for m, p, c in zip(found, parts, common):
-                    if m["class"] != q.as_py() and 100 * c >= PERCENT * (len(query) + len(p) - c):
-                        us.append(q.as_py())
-                        vs.append(m["class"])
+                sizes = np.array([len(p) for p in parts])
+                for q in queries.as_py():
+                    query = np.frombuffer(q["tokens"], np.int64)
+                    at = np.minimum(np.searchsorted(query, matrix), len(query) - 1)
+                    hits = query[at] == matrix
+                    if 100 * np.count_nonzero(np.bincount(at[hits], minlength=1)) < PERCENT * len(query):
+                        continue  # the union holds too few of the query's shingles
+                    common = np.bincount(owner[hits], minlength=len(parts))
+                    for i in np.flatnonzero(100 * common >= PERCENT * (len(query) + sizes - common)):
+                        if found[i]["class"] != q["class"]:
+                            us.append(q["class"])
+                            vs.append(found[i]["class"])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return pairs.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def hub_pairs(rows: DataFrame) -> DataFrame:
@@ -241,9 +247,15 @@ def hub_pairs(rows: DataFrame) -> DataFrame:
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
-    """pairs(q, s) with the query's set and the group's members(s, members)."""
-    mine = sets.select(F.col("class").alias("q"), F.col("tokens").alias("q_tokens"))
-    return pairs.join(mine, "q").join(members, "s").select("q", "q_tokens", "members")
+    """queries, members: the sets of pairs(q, s), those of a group's queries together with the group's members(s, members).
+
+    A group that many queries meet is dealt out in parts of about `PART` bytes of queries."""
+    mine = sets.select(F.col("class").alias("q"), "n", "tokens")
+    sized = materialize(pairs.join(mine.select("q", "n"), "q"))
+    parts = sized.groupBy("s").agg(F.ceil(8 * F.sum("n") / PART).cast("int").alias("parts"))
+    dealt = sized.join(parts, "s").select("q", "s", F.pmod(F.xxhash64("q"), F.col("parts")).alias("part"))
+    asked = dealt.join(mine.select("q", "tokens"), "q").groupBy("s", "part").agg(F.collect_list(F.struct(F.col("q").alias("class"), "tokens")).alias("queries"))
+    return asked.join(members, "s").select("queries", "members")
 
 
 def similar_groups(classes: DataFrame, stars: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -288,12 +300,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     grouped = materialize(similar_groups(named.select("class", "root", "n").distinct(), stars, pairs))
     ranges = grouped.groupBy("s").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     named = materialize(named.join(grouped.select("class", "s", "star"), "class"))
-    matrix = named.groupBy("token", "s", "star").agg(F.count(F.lit(1)).alias("holders")).join(ranges, "s")
-    queries = named.select("token", F.col("class").alias("q"), "n", F.col("root").alias("q_root"), F.col("s").alias("q_s"))
-    meets = f"(q_s > s or q_s = s and holders > 1) and not (star <=> q_root) and 100 * hi >= {PERCENT} * n and 100 * n >= {PERCENT} * lo"
-    met = queries.join(matrix, "token").where(meets)
-    met = met.groupBy("q", "s", "n", "lo", "hi").agg(F.count(F.lit(1)).alias("common"))
-    met = materialize(met.where(F.col("common") >= needed(F.col("n"), F.col("lo"), F.col("hi"))).select("q", "s"))
+    matrix = materialize(named.groupBy("token", "s", "star").agg(F.count(F.lit(1)).alias("holders")).join(ranges, "s"))
+    others = matrix.select("token", F.col("s").alias("a"), F.col("star").alias("a_star"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
+    meets = f"(a > s or a = s and holders > 1) and not coalesce(star = a_star, false) and 100 * hi >= {PERCENT} * a_lo and 100 * a_hi >= {PERCENT} * lo"
+    near = others.join(matrix, "token").where(meets).groupBy("a", "s", "a_lo", "a_hi", "lo", "hi").agg(F.count(F.lit(1)).alias("common"))
+    near = near.where(F.col("common") >= needed(F.col("a_lo"), F.col("a_hi"), F.col("lo"), F.col("hi"))).select("a", "s", "lo", "hi")
+    sized = grouped.select(F.col("class").alias("q"), "n", F.col("s").alias("a"))
+    met = materialize(near.join(sized, "a").where(f"100 * hi >= {PERCENT} * n and 100 * n >= {PERCENT} * lo").select("q", "s"))
 
     open_groups = grouped.join(met.select("s").distinct(), "s", "left_semi").select("s", "class")
     sets = materialize(sets_of(texts, members, met.select(F.col("q").alias("class")).union(open_groups.select("class"))))
