@@ -42,7 +42,7 @@ from xxhash import xxh3_64_intdigest
 
 from tabvet.llm.common import read, text_or_empty
 from tabvet.llm.components import star_forest
-from tabvet.session import materialize
+from tabvet.session import materialize, release
 
 WIDTH = 5
 PERCENT = 75
@@ -292,6 +292,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = materialize(sets_of(texts, members, pairs.select(F.col("q").alias("class")).union(pairs.select("s"))))
     alone = sets.select(F.col("class").alias("s"), F.array(F.struct("class", "tokens")).alias("members"))
     links = materialize(opened(with_sets(pairs, sets, alone)))
+    release(sets)
     stars = star_forest(links)
 
     # token-group matrix over groups of similar documents
@@ -300,18 +301,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     grouped = materialize(similar_groups(named.select("class", "root", "n").distinct(), stars, pairs))
     ranges = grouped.groupBy("s").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     named = materialize(named.join(grouped.select("class", "s", "star"), "class"))
+    release(rows)
     matrix = materialize(named.groupBy("token", "s", "star").agg(F.count(F.lit(1)).alias("holders")).join(ranges, "s"))
+    release(named)
     others = matrix.select("token", F.col("s").alias("a"), F.col("star").alias("a_star"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
     meets = f"(a > s or a = s and holders > 1) and not coalesce(star = a_star, false) and 100 * hi >= {PERCENT} * a_lo and 100 * a_hi >= {PERCENT} * lo"
     near = others.join(matrix, "token").where(meets).groupBy("a", "s", "a_lo", "a_hi", "lo", "hi").agg(F.count(F.lit(1)).alias("common"))
     near = near.where(F.col("common") >= needed(F.col("a_lo"), F.col("a_hi"), F.col("lo"), F.col("hi"))).select("a", "s", "lo", "hi")
     sized = grouped.select(F.col("class").alias("q"), "n", F.col("s").alias("a"))
     met = materialize(near.join(sized, "a").where(f"100 * hi >= {PERCENT} * n and 100 * n >= {PERCENT} * lo").select("q", "s"))
+    release(matrix)
 
     open_groups = grouped.join(met.select("s").distinct(), "s", "left_semi").select("s", "class")
     sets = materialize(sets_of(texts, members, met.select(F.col("q").alias("class")).union(open_groups.select("class"))))
     inside = open_groups.join(sets.select("class", "tokens"), "class").groupBy("s").agg(F.collect_list(F.struct("class", "tokens")).alias("members"))
     found = materialize(opened(with_sets(met, sets, inside)))
+    release(sets)
     roots = star_forest(stars.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
 
     # names: the smallest doc_id of each component
