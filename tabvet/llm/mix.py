@@ -4,15 +4,15 @@
    at `max_epochs` times its source's words and the excess goes to the others by weight. That is water filling: with
    sources sorted by cap / weight, the level is the largest of (rest of the words) / (rest of the weights).
 2. Blocks. A source's documents form one stream of words, cut into blocks of `block` words. Positions come from lanes
-   (hash of the id) of about `LANE_ROWS` rows, so no window holds a whole source: totals per lane are summed first.
-3. Draws. Each output shard of `shard` slots draws its source counts: a multinomial draw with stratified uniforms
-   (stratum s of shard k gets one hashed uniform), so a count differs from its expectation by less than one and the
-   totals meet the targets also for small sources. Independent draws would miss by 1 / sqrt(count).
+   (hash of id, size and text) of about `LANE_ROWS` rows, so no window holds a whole source: totals per lane are summed first.
+3. Draws. Each output shard of `shard` slots draws its source counts: a multinomial draw, one hashed uniform a slot, counted
+   per shard and source. Such totals miss a target by 1 / sqrt(blocks), 7 % for 200 blocks; so a last step brings them to
+   the targets: sources drawn too often give slots back, evenly over the shards, and those drawn too rarely get them.
 4. Slots. Slot j of a source reads block permutation(j mod blocks): a swap-or-not permutation keyed by the source, so
    every block is read floor or ceil of the mean number of times and never more than `max_epochs` times.
 5. Slots and blocks meet by (source, block index); the words of a block belong to the documents it spans.
 
-Everything is a hash of ids and positions, so reruns agree. Nulls: a null source is a source of its own, null text has
+Everything is a hash of ids, texts and positions, so reruns agree, however the rows are partitioned. Nulls: a null source is a source of its own, null text has
 no words. Documents without words take part with nothing taken. Repeated rows are separate documents of the stream.
 An empty table gives no rows. Names of other columns do not matter; `mix_texts` keeps only the columns of documents.
 """
@@ -30,6 +30,8 @@ SHARD = 65536
 LANE_ROWS = 4096
 MAX_EPOCHS = 3
 ROUNDS = 12
+CELLS = 1024
+SPAN = 1024
 
 
 def uniform(*cols) -> Column:
@@ -38,7 +40,12 @@ def uniform(*cols) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORDS)).cast("long").alias("size"))
+    """doc_id, source, size and digest, which tells rows of one doc_id and size apart."""
+    return docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORDS)).cast("long").alias("size"), digest(docs))
+
+
+def digest(docs: DataFrame) -> Column:
+    return F.xxhash64(*[c for c in ("text", "lang") if c in docs.columns]).alias("digest")
 
 
 def targets(sizes: DataFrame, block: int = BLOCK, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -73,19 +80,72 @@ def targets(sizes: DataFrame, block: int = BLOCK, max_epochs: int = MAX_EPOCHS)
     )
 
 
-def shard_counts(sources: DataFrame, shard: int = SHARD, seed: int = 1) -> DataFrame:
-    """shard, source_no, blocks, draws: the multinomial draw of every output shard."""
-    shards = sources.where("all_slots > 0").withColumn(
-        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(all_slots - 1) div {shard}")))
-    ).withColumn("size", F.least(F.lit(shard).cast("long"), F.col("all_slots") - F.col("shard") * F.lit(shard)))
+def by_share(slots: DataFrame, at: str, shares: DataFrame) -> DataFrame:
+    """`slots` with the source_no of the interval [lo, hi) of `shares` in which column `at` lies.
+
+    Intervals and slots meet by cells of the unit interval: at most `CELLS` rows more than there are sources."""
+    last = F.greatest(F.ceil(F.col("hi") * CELLS) - 1, F.floor(F.col("lo") * CELLS)).cast("long")
+    cells = shares.where("hi > lo").select("source_no", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("long"), last)).alias("cell"))
+    met = slots.withColumn("cell", F.floor(F.col(at) * CELLS).cast("long")).join(cells, "cell")
+    return met.where((F.col(at) >= F.col("lo")) & (F.col(at) < F.col("hi"))).drop("cell", "lo", "hi")
+
+
+def running(df: DataFrame, of: str, name: str, key: str | None = None) -> DataFrame:
+    """`df` with `name`, the sum of column `of` over the rows of lower (shard, source_no), of the same `key` if given.
+
+    Totals of `SPAN` shards come first, so that no window holds all shards."""
+    keys, order = ([key] if key else []), ["shard", "source_no"]
+    spans = df.withColumn("span", F.expr(f"shard div {SPAN}"))
+    before = Window.partitionBy(*keys).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = spans.groupBy(*keys, "span").agg(F.sum(of).alias("sum_")).withColumn("start_", F.coalesce(F.sum("sum_").over(before), F.lit(0))).drop("sum_")
+    inside = Window.partitionBy(*keys, "span").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = spans.withColumn(name, F.coalesce(F.sum(of).over(inside), F.lit(0))).join(starts, [*keys, "span"])
+    return rows.withColumn(name, F.col(name) + F.col("start_")).drop("start_", "span")
 
-    def strata_below(edge: str) -> Column:
-        at = F.col("size") * F.col(edge)
-        stratum = F.floor(at)
-        return stratum + F.when(uniform(F.lit(seed), F.col("shard"), stratum) < at - stratum, 1).otherwise(0)
 
-    draws = (strata_below("hi") - strata_below("lo")).cast("long")
-    return shards.select("shard", "source_no", "blocks", draws.alias("draws")).where("draws > 0")
+def slot_total(sources: DataFrame) -> int:
+    return sources.agg(F.coalesce(F.max("all_slots"), F.lit(0))).first()[0]
+
+
+def multinomial(sources: DataFrame, shard: int = SHARD, seed: int = 1) -> DataFrame:
+    """shard, source_no, draws: every slot of a shard draws its source by one hashed uniform, and the draws are counted."""
+    spark, total = sources.sparkSession, slot_total(sources)
+    slots = spark.range(0, total, 1, max(spark.sparkContext.defaultParallelism, -(-total // shard)))
+    slots = slots.select(F.expr(f"id div {shard}").alias("shard"), uniform(F.lit(seed), F.col("id")).alias("u"))
+    return by_share(slots, "u", sources).groupBy("shard", "source_no").agg(F.count(F.lit(1)).alias("draws"))
+
+
+def shard_counts(sources: DataFrame, shard: int = SHARD, seed: int = 1) -> DataFrame:
+    """shard, source_no, blocks, draws: the multinomial counts of every output shard, their totals brought to the targets.
+
+    A source drawn too often gives slots back, spread evenly over the shards; the slots given back are numbered, sent
+    through a permutation, and cut among the sources drawn too rarely. A shard's size stays as it is."""
+    drawn = materialize(multinomial(sources, shard, seed))
+    upto, up_to = Window.orderBy("source_no"), F.round(F.col("hi") * F.col("all_slots"))
+    wanted = sources.withColumn("want", (up_to - F.coalesce(F.lag(up_to).over(upto), F.lit(0))).cast("long"))
+    totals = wanted.join(drawn.groupBy("source_no").agg(F.sum("draws").alias("total")), "source_no", "left").select(
+        "source_no", "blocks", "want", F.coalesce("total", F.lit(0)).alias("total")
+    )
+    totals = totals.withColumn("keeps", F.least("want", "total"))
+    below = running(drawn.join(F.broadcast(totals), "source_no"), "draws", "below", "source_no")
+
+    def kept(at: Column) -> Column:  # whole numbers, which double precision would lose beyond 2^53
+        return F.floor(at.cast("decimal(19,0)") * F.col("keeps").cast("decimal(19,0)") / F.col("total")).cast("long")
+
+    counts = materialize(below.withColumn("keep", kept(F.col("below") + F.col("draws")) - kept(F.col("below"))).withColumn("back", F.col("draws") - F.col("keep")))
+    run = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    short = totals.withColumn("more", F.col("want") - F.col("keeps")).withColumn("end", F.sum("more").over(run))
+    size = short.agg(F.coalesce(F.max("end"), F.lit(0)).alias("size"))
+    freed = running(counts.where("back > 0").select("shard", "source_no", "back"), "back", "first")
+    freed = freed.select("shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("back") - 1)).alias("slot"))
+    freed = freed.crossJoin(F.broadcast(size)).withColumn("name", F.lit("freed"))
+    # stored for the reason given in `mixed`
+    freed = materialize(permuted(freed, "slot", "size", "name", seed, rounds=4).select("shard", "slot", "size"))
+    shares = short.crossJoin(size).where("more > 0").select("source_no", ((F.col("end") - F.col("more")) / F.col("size")).alias("lo"), (F.col("end") / F.col("size")).alias("hi"))
+    moved = by_share(freed.withColumn("at", (F.col("slot") + 0.5) / F.col("size")), "at", shares).groupBy("shard", "source_no").agg(F.count(F.lit(1)).alias("draws"))
+    both = counts.select("shard", "source_no", F.col("keep").alias("draws")).unionByName(moved.select("shard", "source_no", "draws"))
+    final = both.groupBy("shard", "source_no").agg(F.sum("draws").alias("draws")).where("draws > 0")
+    return materialize(final.join(F.broadcast(sources.select("source_no", "blocks")), "source_no").select("shard", "source_no", "blocks", "draws"))
 
 
 def permuted(df: DataFrame, index: str, size: str, key: str, seed: int = 1, rounds: int = ROUNDS) -> DataFrame:
@@ -101,9 +161,11 @@ def permuted(df: DataFrame, index: str, size: str, key: str, seed: int = 1, roun
 
 def drawn_slots(sources: DataFrame, shard: int = SHARD, max_epochs: int = MAX_EPOCHS, seed: int = 1) -> DataFrame:
     """shard, source_no, slot, block: the block that every slot of the output reads."""
-    run = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = shard_counts(sources, shard, seed).withColumn("stop", F.sum("draws").over(run))
-    slots = counts.withColumn("slot", F.explode(F.sequence(F.col("stop") - F.col("draws"), F.col("stop") - 1)))
+    counts = running(shard_counts(sources, shard, seed), "draws", "start", "source_no")
+    parts = max(sources.sparkSession.sparkContext.defaultParallelism, -(-slot_total(sources) // shard))
+    # a fixed number of partitions: tiny rows that grow into many slots would be put together into one task
+    counts = counts.repartition(parts, "shard", "source_no")
+    slots = counts.withColumn("slot", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("draws") - 1)))
     slots = slots.where(F.col("slot") < F.col("blocks") * max_epochs).withColumn("block", F.coalesce(F.pmod("slot", "blocks"), F.lit(0)))
     return permuted(slots, "block", "blocks", "source_no", seed).select("shard", "source_no", "slot", "block")
 
@@ -114,11 +176,11 @@ def placed(sizes: DataFrame, sources: DataFrame, totals: DataFrame) -> DataFrame
 
     def laned(df: DataFrame) -> DataFrame:
         lanes = F.expr(f"(docs + {LANE_ROWS - 1}) div {LANE_ROWS}")
-        return df.join(known, df["source"].eqNullSafe(known["source_"])).withColumn("lane", F.pmod(F.xxhash64("doc_id", "size"), lanes)).drop("source_", "docs")
+        return df.join(known, df["source"].eqNullSafe(known["source_"])).withColumn("lane", F.pmod(F.xxhash64("doc_id", "size", "digest"), lanes)).drop("source_", "docs")
 
     run = Window.partitionBy("source_no").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     lanes = laned(totals).groupBy("source_no", "lane").agg(F.sum("size").alias("words")).withColumn("start", F.coalesce(F.sum("words").over(run), F.lit(0))).drop("words")
-    inside = Window.partitionBy("source_no", "lane").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_no", "lane").orderBy("doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
     rows = laned(sizes).withColumn("pos", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return rows.join(lanes, ["source_no", "lane"]).withColumn("pos", F.col("pos") + F.col("start")).drop("start", "lane")
 
@@ -157,7 +219,7 @@ def mix_texts(docs: DataFrame, **options) -> DataFrame:
     sizes, sources, _, drawn = mixed(docs, **options)
     parts = drawn.groupBy("source_no", "pos").agg(F.sort_array(F.collect_list(F.struct("at", "words", "times"))).alias("parts"), F.max("times").alias("most"))
     parts = parts.select(F.col("source_no").alias("no_"), F.col("pos").alias("pos_"), "parts", "most")
-    whole = docs.select("doc_id", "text", "lang", "source").withColumn("size", F.regexp_count(text_or_empty(), F.lit(WORDS)).cast("long"))
+    whole = docs.select("doc_id", "text", "lang", "source", F.regexp_count(text_or_empty(), F.lit(WORDS)).cast("long").alias("size"), digest(docs))
     rows = placed(whole, sources, sizes).where("size > 0").join(parts, (F.col("source_no") == F.col("no_")) & (F.col("pos") == F.col("pos_")))
     text = F.expr(
         "array_join(flatten(transform(filter(parts, p -> p.times >= time), p -> slice(words, cast(p.at + 1 as int), cast(p.words as int)))), ' ')"

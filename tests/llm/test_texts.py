@@ -132,3 +132,32 @@ def test_cuts_are_certain():
     assert not enc.joined[[9, 10, 11, 12, 13, 32]].any()
     assert enc.cut("abc,def") == ["abc", ",", "def"]
     assert "".join(enc.cut("don't")) == "don't" and "'t" in enc.cut("don't")
+
+
+def test_mix_draws_are_multinomial_and_meet_the_targets(spark):
+    """Shards keep their size, totals meet the slots wanted, raw counts vary as multinomial draws do, no slot comes twice."""
+    rows = [(k, "w " * 400, "abc"[k % 3]) for k in range(90)]
+    sources = M.materialize(M.targets(M.sized(spark.createDataFrame(rows, "doc_id long, text string, source string")), block=4))
+    raw, final = M.multinomial(sources, 100).collect(), M.shard_counts(sources, 100).collect()
+    share = {r.source_no: (r.hi - r.lo) * r.all_slots for r in sources.collect()}
+
+    def total(rows, by):
+        out = {}
+        for r in rows:
+            out[r[by]] = out.get(r[by], 0) + r.draws
+        return out
+
+    assert total(raw, "shard") == total(final, "shard") == {k: 100 for k in range(90)}
+    assert all(abs(n - share[s]) <= 1 for s, n in total(final, "source_no").items())
+    counts = [r.draws for r in raw if r.source_no == 3]
+    mean = sum(counts) / 90
+    assert 12 < sum((c - mean) ** 2 for c in counts) / 89 < 40 and abs(mean - 50) < 2.5  # binomial variance 25
+    slots = M.drawn_slots(sources, 100)
+    assert slots.count() == 9000 == slots.select("source_no", "slot").distinct().count()
+
+
+def test_mix_texts_agree_however_rows_are_partitioned(spark):
+    rows = [(None, " ".join(f"w{k}x{i}" for i in range(40)), "en", "s") for k in range(8)] + [(1, "a b", "en", "s")] * 3 + [(2, "z " * 60, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    first, *others = [sorted(map(str, M.mix_texts(docs.repartition(n)).collect())) for n in (1, 3, 7)]
+    assert first and all(x == first for x in others)
