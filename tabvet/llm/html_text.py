@@ -6,7 +6,7 @@ of characters inside links, and the structure it stands in.
 
 Pass 1 (context-free) calls a block boilerplate when it stands in a menu, header, footer, sidebar, notice, advert or
 comment element (by element name, role, the attribute hidden, or words of its class and id), or when its link density
-is high. Words of class and id do not count above an article or main element, nor where the element so named holds most
+is high. Headings in an article's own header stay. Words of class and id, and forms, do not count above an article or main element, nor where the element so named holds most
 of the page's long text rich in stop words: there the block's own text decides. Otherwise a block is good when it
 is long enough and rich in stop words, or long and free of links inside the article element; near-good or short
 otherwise.
@@ -17,8 +17,8 @@ heading before a good block. With no decided neighbour at all, blocks in the art
 Stop words are not given: a word counts as one when it is among the most frequent short words of the page's own text
 or of the small fixed lists below.
 
-Defined results: null and empty html give an empty text; broken markup (unclosed or stray tags, a file that ends
-inside a tag, comment or script) is read as far as it goes; pages of any length are read whole; repeated rows give
+Defined results: null and empty html give an empty text; broken markup (unclosed or stray tags, open quotes, a file
+that ends inside a tag, comment or script) is read as far as it goes, in linear time; pages of any length are read whole; repeated rows give
 repeated results; an empty table gives no rows; other columns are not read.
 """
 
@@ -42,19 +42,17 @@ STOP_WORDS = frozenset(
     "le la les de des et un une du en est que pour qui dans par sur au avec pas plus "
     "el los las y del que por con una para se su al lo como es".split()
 )
-RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|canvas|select|title"
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)",
-    re.I | re.S,
-)
+RAW = frozenset("script style noscript template textarea svg math iframe object canvas select title".split())
+RAW_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
+OPENING = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?]|/(?![a-z]))|(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*+))", re.I)
+UNQUOTED = re.compile(r"[^>\"']*+")
 BLOCKS = frozenset(
     "address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 AUTO_CLOSED = frozenset("p li td th tr dd dt option".split())
-BAD_ELEMENTS = frozenset("nav footer header aside form menu dialog button fieldset label head".split())
+BAD_ELEMENTS = frozenset("nav footer header aside menu dialog button fieldset label head".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 BAD_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|"
@@ -72,15 +70,17 @@ GOOD, BAD, OPEN = 1, -1, 0
 
 
 NO, WORDS, SURE = 0, 1, 2  # what a mark as boilerplate rests on
+HEADER = 3  # inside the header of an article: boilerplate but for its headings
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def mark(name: str, rest: str) -> int:
-    """SURE for elements, roles and hidden ones, WORDS for words of class and id, which wrappers of whole pages may bear."""
+    """SURE for elements, roles and hidden ones, WORDS for forms and words of class and id, which may wrap whole pages."""
     if name in BAD_ELEMENTS:
         return SURE
     if not rest or name in ("html", "body"):
-        return NO
-    found, seen = NO, set()
+        return WORDS if name == "form" else NO
+    found, seen = (WORDS if name == "form" else NO), set()
     for key, value in ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'").strip()
         if not key or key in seen:  # of repeated attributes the first counts
@@ -97,6 +97,53 @@ def mark(name: str, rest: str) -> int:
     return found
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, stop, closes, name, attributes) of every tag; comments, declarations and raw elements have no name.
+
+    The scan only goes forward: a tag ends at the first > outside quotes, a quote that nothing closes counts as a plain
+    character, and what never ends reaches to the end of the page."""
+    at, size = 0, len(page)
+    closed = {'"': True, "'": True}  # whether this quote may still occur
+
+    def tag_end(i: int) -> int:
+        """Where the > of the tag stands whose name ends at i, or -1."""
+        while True:
+            i = UNQUOTED.match(page, i).end()
+            if i == size:
+                return -1
+            sign = page[i]
+            if sign == ">":
+                return i
+            j = page.find(sign, i + 1) if closed[sign] else -1
+            closed[sign] = j >= 0
+            i = j + 1 if j >= 0 else i + 1
+
+    while m := OPENING.search(page, at):
+        start = m.start()
+        if m["comment"]:
+            j = page.find("-->", m.end())
+            at = j + 3 if j >= 0 else size
+            yield start, at, False, "", ""
+            continue
+        if m["other"]:
+            j = page.find(">", m.end())
+            at = j + 1 if j >= 0 else size
+            yield start, at, False, "", ""
+            continue
+        name, stop = m["name"].lower(), tag_end(m.end())
+        if stop < 0:
+            yield start, size, False, "", ""
+            return
+        rest = page[m.end() : stop]
+        at = stop + 1
+        if name in RAW and not m["close"]:
+            if not (name in ("svg", "math") and rest.endswith("/")):
+                end = RAW_END[name].search(page, at)
+                at = end.end() if end else size
+            name = ""
+        yield start, at, bool(m["close"]), name, rest
+
+
 class Wrapper:
     """An element with a boilerplate word in its class or id, or an article or main element that takes back such words."""
 
@@ -117,8 +164,8 @@ def blocks(page: str) -> list[Block]:
     """The page's blocks of text in page order."""
     found: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool, Wrapper | None]] = []  # name, surely boilerplate, article and wrapper up to here
-    top = ("", False, False, None)
+    stack: list[tuple[str, int, bool, Wrapper | None]] = []  # name, NO, SURE or HEADER, article and wrapper up to here
+    top = ("", NO, False, None)
     open_ = Counter()  # how often each name is on the stack
 
     def leave() -> str:
@@ -132,7 +179,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 links = sum(len(t) for t, linked in parts if linked)
                 _, bad, article, wrapped = stack[-1] if stack else top
-                found.append(Block(text, links, bad, article, any(e[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for e in stack[-3:]), wrapped))
+                found.append(Block(text, links, bad != NO, article, any(e[0] in HEADINGS for e in stack[-3:]), wrapped))
             parts.clear()
 
     def add(text: str) -> None:
@@ -140,19 +187,18 @@ def blocks(page: str) -> list[Block]:
             parts.append((html.unescape(text) if "&" in text else text, open_["a"] > 0))
 
     at = 0
-    for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        name = m["name"].lower() if m["name"] else ""
+    for start, stop, closes, name, rest in tokens(page):
+        add(page[at:start])
+        at = stop
         if not name:
             continue
         if name in BLOCKS:
             flush()
-        if m["close"]:
+        if closes:
             if open_[name] > 0:  # closes what stands open inside it, too
                 while leave() != name:
                     pass
-        elif name not in VOID and not m["rest"].rstrip().endswith("/"):
+        elif name not in VOID and not rest.rstrip().endswith("/"):
             if name in AUTO_CLOSED and stack and stack[-1][0] == name:
                 leave()
             elif name == "p" or name in BLOCKS:
@@ -162,13 +208,17 @@ def blocks(page: str) -> list[Block]:
                     leave()
             _, bad, article, wrapped = stack[-1] if stack else top
             open_[name] += 1
-            own, resets = mark(name, m["rest"]), name in ("article", "main")
+            own, resets = mark(name, rest), name in ("article", "main")
             if own == WORDS or resets and wrapped:
-                wrapped = Wrapper(wrapped, m.start(), resets)
-            stack.append((name, bad or own == SURE, article or resets, wrapped))
-    tail = page[at:]
-    cut = re.search(r"<[a-zA-Z!/?]", tail)  # the file ends inside a tag
-    add(tail[: cut.start()] if cut else tail)
+                wrapped = Wrapper(wrapped, start, resets)
+            if own == SURE and not (bad == NO and article and name == "header"):
+                bad = SURE
+            elif own == SURE:
+                bad = HEADER
+            elif bad == HEADER and name in HEADINGS:
+                bad = NO
+            stack.append((name, bad, article or resets, wrapped))
+    add(page[at:])
     flush()
     return found
 

@@ -134,3 +134,23 @@ def test_wrappers_and_attribute_values_do_not_hide_the_article():
     for attributes in ("hidden", "HIDDEN=''", "class=x hidden", 'aria-hidden="true"', 'hidden="until-found"'):
         assert H.main_text(f"<body><p>{ARTICLE}</p><div {attributes}><p>{ARTICLE} unseen</p></div>") == ARTICLE, attributes
         assert H.main_text(f"<body><article {attributes}><p>{ARTICLE}</p></article>") == "", attributes
+
+
+def test_unfinished_tags_take_linear_time():
+    import time
+
+    start = time.time()
+    megabyte = ["<a " * 350_000, '<a href="x ' * 95_000, "<a '\"><b \"'>" * 80_000, '<a "><a " ' * 100_000 + '"', "<div><a " * 120_000, "<!--" * 250_000, "<script>" * 130_000, "</" * 500_000]
+    for tail in megabyte:
+        assert H.main_text(f"<article><p>{ARTICLE}</p></article>" + tail).startswith(ARTICLE), tail[:20]
+    assert time.time() - start < 2 * len(megabyte)
+    assert H.main_text(f'<b title="x>y</b><p>{ARTICLE}</p>') == "y\n" + ARTICLE  # an open quote ends with its tag
+
+
+def test_header_of_the_article_and_pages_inside_a_form():
+    head = "<header><h1>Its title</h1><p>by someone</p></header>"
+    page = f"<body><header><h1>Site</h1></header><article>{head}<p>{ARTICLE}</p></article>"
+    assert H.main_text(page) == "Its title\n" + ARTICLE
+    form = f"<body><form action=x><nav>menu</nav><div><p>{ARTICLE}</p><form class=search><p>find it</p></form></div></form>"
+    assert H.main_text(form).split("\n")[0] == ARTICLE and "menu" not in H.main_text(form)
+    assert H.main_text(f"<p>{ARTICLE}</p><form><p>your mail</p></form>") == ARTICLE
