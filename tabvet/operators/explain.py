@@ -7,6 +7,7 @@ columns; `model_scorer` makes one of a fitted pipeline, `linear_scorer` one of g
 from __future__ import annotations
 
 import itertools
+import math
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -187,6 +188,48 @@ def leaf_values(leaf: Leaf, inside: np.ndarray) -> np.ndarray:
     return leaf.value * (inside - leaf.share) * ((ahead * behind) @ w)
 
 
+KNOWN_VALUES = 1 << 22  # Shapley values that a task keeps
+
+
+class Cells:
+    """`shapley` of many rows, made once for each cell of the leaves' limits that a task meets.
+
+    A leaf asks of a feature only which of the trees' limits it passes, so rows between the same limits have the same
+    values; a cell's values are made from its first row and kept, at most `KNOWN_VALUES` numbers."""
+
+    def __init__(self, leaves: list[Leaf], width: int):
+        self.leaves, self.width = leaves, width
+        limits: list[set[float]] = [set() for _ in range(width)]
+        for leaf in leaves:
+            for j, low, high in zip(leaf.features, leaf.low, leaf.high):
+                limits[j] |= {float(v) for v in (low, high) if np.isfinite(v)}
+        self.limits = [np.array(sorted(v)) for v in limits]
+        self.sizes = [len(v) + 2 for v in self.limits]  # the last: NaN, which no interval holds
+        self.numbered = math.prod(self.sizes) < 2**62
+        self.known, self.values = np.zeros(0, np.int64), np.zeros((0, width))
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        passed = [np.where(np.isnan(v), len(c) + 1, np.searchsorted(c, v)) for c, v in zip(self.limits, x.T)]
+        if not self.numbered:
+            _, first, cell = np.unique(np.stack(passed, axis=1), axis=0, return_index=True, return_inverse=True)
+            return self._made(x[first])[cell.reshape(-1)]
+        number = np.zeros(len(x), np.int64)
+        for at, size in zip(passed, self.sizes):
+            number = number * size + at
+        number, first, cell = np.unique(number, return_index=True, return_inverse=True)
+        new = ~np.isin(number, self.known, assume_unique=True)
+        if len(self.known) and (len(self.known) + new.sum()) * self.width > KNOWN_VALUES:
+            self.known, self.values, new = self.known[:0], self.values[:0], np.ones(len(number), bool)
+        known = np.concatenate([self.known, number[new]])
+        values = np.concatenate([self.values, self._made(x[first[new]])])
+        order = np.argsort(known)
+        self.known, self.values = known[order], values[order]
+        return self.values[np.searchsorted(self.known, number)][cell]
+
+    def _made(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros((0, self.width)), *[shapley(self.leaves, x[i : i + 4096]) for i in range(0, len(x), 4096)]])
+
+
 def expected(leaves: list[Leaf]) -> float:
     """The score without any feature known: leaf values by the share of rows that reach them."""
     return float(sum(leaf.value * leaf.share.prod() for leaf in leaves))
@@ -207,10 +250,12 @@ def tree_attributions(model: PipelineModel, df: DataFrame, features: list[str],
     width = len(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = Cells(leaves, width)
         for batch in batches:
             x = batch.column(len(keys)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            values = np.concatenate([shapley(leaves, x[i : i + 4096]) for i in range(0, len(x), 4096)]) if len(x) else x
-            found = [pa.array(np.full(len(x), base)), pa.array(base + values.sum(axis=1)), pa.array(list(values), pa.list_(pa.float64()))]
+            values = cells.of(x)
+            ends = pa.array(np.arange(0, values.size + 1, width, dtype=np.int32))
+            found = [pa.array(np.full(len(x), base)), pa.array(base + values.sum(axis=1)), pa.ListArray.from_arrays(ends, pa.array(values.reshape(-1)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *found], [*keys, "expected", "score", "contributions"])
 
     return rows.mapInArrow(run, f"{kinds}, expected double, score double, contributions array<double>")

@@ -120,6 +120,27 @@ def test_tree_attributions_equal_all_subsets(table, name, target):
         assert r.contributions == pytest.approx(brute_shapley(leaves, vectors[r.id].f), abs=1e-9)
 
 
+@pytest.mark.parametrize("kept, numbered", [(1 << 22, True), (30, True), (1 << 22, False)])
+def test_shapley_values_are_made_once_for_each_cell(monkeypatch, kept, numbered):
+    rng = np.random.default_rng(5)
+    leaves = []
+    for _ in range(40):
+        f = np.sort(rng.choice(3, rng.integers(1, 4), replace=False))
+        low = rng.choice([-np.inf, -1.0, 0.0], len(f))
+        leaves.append(X.Leaf(rng.normal(), f, low, rng.choice([0.5, 2.0, np.inf], len(f)), rng.uniform(0.1, 0.9, len(f))))
+    x = np.concatenate([rng.choice([-1.0, -0.5, 0.0, 0.5, 1.7, 2.0, 3.0, np.nan], (500, 3)), rng.normal(0, 2, (500, 3))])
+    plain, made = X.shapley, []
+    monkeypatch.setattr(X, "shapley", lambda leaves, x: made.append(len(x)) or plain(leaves, x))
+    monkeypatch.setattr(X, "KNOWN_VALUES", kept)
+    cells = X.Cells(leaves, 3)
+    cells.numbered = numbered
+    for at in range(0, 1000, 100):
+        assert np.allclose(cells.of(x[at : at + 100]), plain(leaves, x[at : at + 100]), atol=1e-12)
+    assert cells.of(x[:0]).shape == (0, 3)
+    if kept > 30 and numbered:
+        assert sum(made) <= 6**3  # five intervals a feature and NaN
+
+
 def test_global_attributions_name_the_deciding_feature(table):
     model = train("RandomForest", table, FEATURES, "y")
     rows = X.global_attributions(X.tree_attributions(model, table, FEATURES, ["id"]), FEATURES).collect()
