@@ -12,6 +12,9 @@ size of the table (blocks grow instead), and are broadcast. A search
    best rows found there;
 2. opens all other blocks whose box may hold a row at least as near as the k-th found, and merges.
 
+Rows that know the same dimensions ask an order of the donors by these dimensions alone (a group), so a query's neighbours
+lie in a few blocks also where it knows one dimension of many; equal questions are asked once.
+
 Blocks are opened by a cogroup of block and queries; a block that many queries open is dealt in pieces of `PIECE` queries.
 No candidate is dropped: the bounds are exact, so ties at the k-th place reach the final merge and go to the smaller id.
 """
@@ -29,10 +32,13 @@ from pyspark.sql import functions as F
 
 from tabvet.functions.core import nan_to_null
 from tabvet.operators.longform import row_numbers
+from tabvet.operators.train import spread
 from tabvet.session import materialize
 
 BLOCK_ROWS, BOXES, PIECE = 1024, 65_536, 4096
 SLACK = 1e-9  # relative: bounds and distances are rounded differently
+QUESTIONS = 1000  # by file
+GROUPS = 16  # sets of known dimensions that have an order of their own; rarer ones share the order by all dimensions
 
 QUERY = "query long, need int, before double, v array<double>"
 FOUND = "query long, d2 double, donor long, value double"
@@ -42,21 +48,47 @@ def vector(dims: list[str]) -> Column:
     return F.array(*[nan_to_null(F.col(c)) for c in dims])
 
 
-def z_order(donors: DataFrame, dims: int) -> list[Column]:
-    """Pattern of missing dimensions and Z-order number of v, whose buckets hold about equally many rows each."""
-    bits = max(1, min(8, 60 // dims))
+def pattern(dims: int) -> Column:
+    """The missing dimensions of v as bits."""
+    return sum((F.when(F.col("v")[j].isNull(), F.lit(1 << min(j, 60))).otherwise(F.lit(0)) for j in range(dims)), F.lit(0).cast("long"))
+
+
+def bucket_bits(dims: int) -> int:
+    return max(1, min(8, 60 // dims))
+
+
+def bucketed(donors: DataFrame, dims: int) -> DataFrame:
+    """donors with _b0, _b1, ...: for each dimension the number of its bucket, of which each holds about equally many rows."""
+    bits = bucket_bits(dims)
     cuts = [i / 2**bits for i in range(1, 2**bits)]
     edges = donors.agg(*[F.percentile_approx(F.col("v")[j], cuts, 2000).alias(f"e{j}") for j in range(dims)]).first()
-    code, pattern = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for j in range(dims):
-        x = F.col("v")[j]
-        known = sorted({float(e) for e in edges[j] or []})
-        bucket = F.when(x.isNull(), F.lit(0))
-        bucket = bucket.otherwise(F.array_size(F.filter(F.array(*[F.lit(e) for e in known]), lambda e, x=x: e < x))) if known else bucket.otherwise(F.lit(0))
-        for b in range(bits):
-            code = code.bitwiseOR(F.shiftleft(F.shiftright(bucket, b).bitwiseAND(F.lit(1)).cast("long"), b * dims + j))
-        pattern = pattern + F.when(x.isNull(), F.lit(1 << min(j, 60))).otherwise(F.lit(0))
-    return [pattern, code]
+    known = [np.array(sorted({float(e) for e in edges[j] or []})) for j in range(dims)]
+    added = pa.schema([(f"_b{j}", pa.int64()) for j in range(dims)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
+            found = [pa.array(np.where(np.isnan(v[:, j]), 0, np.searchsorted(known[j], v[:, j])).astype(np.int64)) for j in range(dims)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *added.names])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in donors.schema.fields)
+    return donors.mapInArrow(run, f"{kinds}, " + ", ".join(f"_b{j} long" for j in range(dims)))
+
+
+def z_order(dims: int, groups: dict[int, list[int]]) -> list[Column]:
+    """Group, pattern of missing dimensions, Z-order number of the buckets of the group's dimensions, and within a bucket the
+    values themselves."""
+    bits = bucket_bits(dims)
+    code, values = F.lit(0).cast("long"), [F.lit(None).cast("double") for _ in range(max((len(g) for g in groups.values() if len(g) < dims), default=0))]
+    for number, own in groups.items():
+        mine, at = F.lit(0).cast("long"), F.col("group") == number
+        for i, j in enumerate(own):
+            for b in range(bits):
+                mine = mine.bitwiseOR(F.shiftleft(F.shiftright(F.col(f"_b{j}"), b).bitwiseAND(F.lit(1).cast("long")), b * len(own) + i))
+        code = F.when(at, mine).otherwise(code)
+        if len(own) < dims:
+            values = [F.when(at, F.col("v")[own[i]]).otherwise(x) if i < len(own) else x for i, x in enumerate(values)]
+    return [F.col("group"), pattern(dims), code, *values]
 
 
 @dataclass
@@ -96,32 +128,42 @@ class Boxes:
 
 
 class Index:
-    """Donors (donor, at, v: id, time, values) cut into blocks, with their boxes."""
+    """Donors (donor, at, v: id, time, values) cut into blocks, with their boxes.
+
+    groups names the dimensions by which the donors of a group are ordered; donors then hold `groups`, the numbers of those
+    that they are in, and a query is answered from its own group."""
 
-    def __init__(self, donors: DataFrame, dims: int, block_rows: int = BLOCK_ROWS):
-        self.dims = dims
+    def __init__(self, donors: DataFrame, dims: int, block_rows: int = BLOCK_ROWS, groups: dict[int, list[int]] | None = None):
+        self.dims, groups = dims, groups or {0: list(range(dims))}
+        donors = donors if "groups" in donors.columns else donors.withColumn("groups", F.array(F.lit(0)))
         donors = materialize(donors.where(F.exists("v", lambda x: x.isNotNull())))
-        total = donors.count()
-        size = max(block_rows, -(-total // BOXES))
-        numbered = row_numbers(donors, [*z_order(donors, dims), F.col("donor")], "_row")
-        self.rows = materialize(numbered.withColumn("block", F.floor(F.col("_row") / size).cast("long")).drop("_row"))
+        dealt = materialize(bucketed(donors, dims).withColumn("group", F.explode("groups")).drop("groups"))
+        size = max(block_rows, -(-dealt.count() // BOXES))
+        order = {f"_z{i}": c for i, c in enumerate(z_order(dims, groups))}
+        ordered = dealt.select("donor", "at", "v", "group", *[c.alias(name) for name, c in order.items()])
+        numbered = row_numbers(ordered, [*map(F.col, order), F.col("donor")], "_row").drop(*order)
+        block = (F.floor(F.col("_row") / size) * len(groups) + F.col("group")).cast("long")  # no block holds two groups
+        self.rows = materialize(numbered.withColumn("block", block).drop("_row"))
         per_dim = [f(F.col("v")[j]).alias(f"{name}{j}") for j in range(dims) for name, f in (("low", F.min), ("high", F.max), ("have", F.count))]
-        table = self.rows.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.min("at").alias("first"), F.max("at").alias("last"), *per_dim)
-        t = table.orderBy("block").toPandas()  # at most BOXES rows
+        table = self.rows.groupBy("block", "group").agg(F.count(F.lit(1)).alias("rows"), F.min("at").alias("first"), F.max("at").alias("last"), *per_dim)
+        every = table.orderBy("block").toPandas()  # at most BOXES rows, and one more a group
+        self.boxes = {number: self._boxes(every[every["group"] == number]) for number in groups}
 
+    def _boxes(self, t: pd.DataFrame) -> Boxes:
         def matrix(name: str) -> np.ndarray:
-            return np.stack([t[f"{name}{j}"].to_numpy(float) for j in range(dims)], axis=1) if len(t) else np.zeros((0, dims))
+            return np.stack([t[f"{name}{j}"].to_numpy(float) for j in range(self.dims)], axis=1) if len(t) else np.zeros((0, self.dims))
 
-        self.boxes = Boxes(t["block"].to_numpy(), np.nan_to_num(matrix("low")), np.nan_to_num(matrix("high")), matrix("have"),
-                           t["rows"].to_numpy(float), t["first"].to_numpy(float), t["last"].to_numpy(float))
+        return Boxes(t["block"].to_numpy(), np.nan_to_num(matrix("low")), np.nan_to_num(matrix("high")), matrix("have"),
+                     t["rows"].to_numpy(float), t["first"].to_numpy(float), t["last"].to_numpy(float))
 
     def nearest(self, queries: DataFrame, k: int) -> DataFrame:
         """query, found: the k nearest admissible donors as (d2, donor, value), nearest first, ties to the smaller id.
 
         queries hold query (unique), need (a dimension that donors must have and whose value is returned, or -1), before (only
-        donors of an earlier time count) and v. Queries without any admissible donor are left out."""
+        donors of an earlier time count), v and, if the donors are in groups, group. Queries without any admissible donor are left out."""
+        queries = queries if "group" in queries.columns else queries.withColumn("group", F.lit(0))
         shared = queries.sparkSession.sparkContext.broadcast(self.boxes)
-        queries = materialize(queries)
+        queries = spread(materialize(queries), QUESTIONS)  # a question costs time, not bytes
         first = materialize(self._best(self._opened(queries, self._choose(shared, k)), k))
         limits = first.select("query", F.when(F.size("found") >= k, F.element_at("found", -1)["d2"]).alias("limit"), F.col("home"))
         rest = queries.join(limits, "query", "left")
@@ -132,19 +174,20 @@ class Index:
 
     @staticmethod
     def _choose(shared, k: int):
-        def blocks(v, need, before, limit, home) -> tuple[list[int], int]:
-            least, _ = shared.value.bounds(v, need, before)
+        def blocks(group, v, need, before, limit, home) -> tuple[list[int], int]:
+            boxes = shared.value[group]
+            least, _ = boxes.bounds(v, need, before)
             if not len(least) or not np.isfinite(least.min()):
                 return [], -1
-            at = int(shared.value.block[least.argmin()])
+            at = int(boxes.block[least.argmin()])
             return [at], at
 
         return blocks
 
     @staticmethod
     def _others(shared, k: int):
-        def blocks(v, need, before, limit, home) -> tuple[list[int], int]:
-            boxes = shared.value
+        def blocks(group, v, need, before, limit, home) -> tuple[list[int], int]:
+            boxes = shared.value[group]
             least, most = boxes.bounds(v, need, before)
             order = np.argsort(most)
             enough = np.searchsorted(np.cumsum(boxes.rows[order]), k)
@@ -166,7 +209,7 @@ class Index:
                 for i in range(batch.num_rows):
                     v = np.array([np.nan if x is None else x for x in rows["v"][i]], float)
                     limit = rows["limit"][i] if "limit" in rows else None
-                    found, home = choose(v, rows["need"][i], rows["before"][i], limit, rows["home"][i] if "home" in rows else None)
+                    found, home = choose(rows["group"][i], v, rows["need"][i], rows["before"][i], limit, rows["home"][i] if "home" in rows else None)
                     for b in found:
                         for c in ("query", "need", "before", "v"):
                             out[c].append(rows[c][i])
@@ -175,7 +218,7 @@ class Index:
                 schema = pa.schema([("query", pa.int64()), ("need", pa.int32()), ("before", pa.float64()), ("v", pa.list_(pa.float64())), ("block", pa.int64()), ("home", pa.int64())])
                 yield pa.RecordBatch.from_pydict(out, schema)
 
-        chosen = queries.select("query", "need", "before", "v", *extra)
+        chosen = queries.select("query", "need", "before", "v", "group", *extra)
         return chosen.mapInArrow(run, f"{QUERY}, block long, home long")
 
     def _best(self, opened: DataFrame, k: int) -> DataFrame:
@@ -221,11 +264,12 @@ def opened_block(queries: pd.DataFrame, donors: pd.DataFrame, k: int) -> pd.Data
         values = d[:, np.maximum(need[part], 0)].T  # queries x donors
         open_to &= ~asks[:, None] | ~np.isnan(values)
         d2[~open_to] = np.inf
-        best = np.argsort(d2, axis=1, kind="stable")[:, :k]  # donors ascend, so ties keep the smaller id
-        rows = np.arange(len(best))[:, None]
-        keep = np.isfinite(d2[rows, best])
-        at_row = np.broadcast_to(rows, best.shape)[keep]
-        chosen = best[keep]
+        last = np.partition(d2, k - 1, axis=1)[:, k - 1] if k < len(d) else np.full(len(d2), np.inf)
+        at_row, chosen = np.nonzero((d2 <= last[:, None]) & np.isfinite(d2))
+        best = np.lexsort((chosen, d2[at_row, chosen], at_row))  # donors ascend, so ties keep the smaller id
+        at_row, chosen = at_row[best], chosen[best]
+        keep = np.arange(len(at_row)) - np.searchsorted(at_row, at_row) < k
+        at_row, chosen = at_row[keep], chosen[keep]
         value = np.where(asks[at_row], values[at_row, chosen], np.nan)
         parts.append(pd.DataFrame({"query": number[part][at_row], "d2": d2[at_row, chosen], "donor": ids[chosen], "value": value, "home": home[part][at_row]}))
     return pd.concat(parts)
@@ -239,12 +283,32 @@ def impute_knn(df: DataFrame, cols: list[str], order: list[Column], k: int = 5,
     in reach becomes the column's mean (NULL if the column has no value). NaN counts as missing; other columns stay.
     Every row is a donor and none is sampled."""
     rows = materialize(row_numbers(df, order, "_row"))
-    vectors = rows.select(F.col("_row").alias("donor"), F.lit(0.0).alias("at"), vector(cols).alias("v"))
-    index = Index(vectors, len(cols), block_rows)
-    missing = F.filter(F.sequence(F.lit(0), F.lit(len(cols) - 1)), lambda j: F.get("v", j).isNull())
-    slots = vectors.select(F.col("donor"), F.explode(missing).alias("need"), "v")
-    slots = slots.select((F.col("donor") * len(cols) + F.col("need")).alias("query"), "need", F.lit(1.0).alias("before"), "v")
-    filled = index.nearest(slots, k)
+    p = len(cols)
+    vectors = rows.select(F.col("_row").alias("donor"), F.lit(0.0).alias("at"), vector(cols).alias("v")).withColumn("lacks", pattern(p))
+    everything = (1 << p) - 1
+    asked = vectors.where((F.col("lacks") > 0) & (F.col("lacks") < everything)).groupBy("lacks").count()
+    known = [r["lacks"] for r in asked.orderBy(F.desc("count"), "lacks").limit(GROUPS).collect()] if p <= 60 else []
+    groups = {0: list(range(p))} | {i + 1: [j for j in range(p) if not lacks >> j & 1] for i, lacks in enumerate(known)}
+    # a group's donors share a dimension with its queries and have one that these lack; rarer patterns ask all donors
+    serves = [F.when((F.col("lacks").bitwiseOR(F.lit(lacks)) != everything) & (F.col("lacks").bitwiseAND(F.lit(lacks)) != lacks), F.lit(i + 1)) for i, lacks in enumerate(known)]
+    rest = vectors.where((F.col("lacks") > 0) & ~F.col("lacks").isin(known or [-1]))
+    all_donors = [F.lit(0)] if not rest.isEmpty() else []
+    serving = F.array_compact(F.array(*all_donors, *serves).cast("array<int>"))
+    index = Index(vectors.select("donor", "at", "v", serving.alias("groups")), p, block_rows, groups)
+    missing = F.filter(F.sequence(F.lit(0), F.lit(p - 1)), lambda j: F.get("v", j).isNull())
+    group = F.lit(0)
+    for i, lacks in enumerate(known):
+        group = F.when(F.col("lacks") == lacks, F.lit(i + 1)).otherwise(group)
+    slots = vectors.where(F.col("lacks") > 0).select(F.col("donor"), F.explode(missing).alias("need"), "lacks", "v", group.alias("group"))
+    # equal values ask the same: one of them does, and all read its answer
+    same = ["need", "lacks", *[F.coalesce(F.get("v", F.lit(j)), F.lit(0.0)).alias(f"_v{j}") for j in range(p)]]
+    names = ["need", "lacks", *[f"_v{j}" for j in range(p)]]
+    slots = materialize(slots.select((F.col("donor") * p + F.col("need")).alias("slot"), *same, "v", "group"))
+    questions = slots.groupBy(*names).agg(F.min("slot").alias("query"), F.any_value("v").alias("v"), F.any_value("group").alias("group"))
+    questions = materialize(questions)
+    answers = index.nearest(questions.select("query", "need", F.lit(1.0).alias("before"), "v", "group"), k)
+    asking = slots.join(questions.select(*names, "query"), names).select("slot", "query")
+    filled = asking.join(answers, "query").select(F.col("slot").alias("query"), "found")
     mean = F.aggregate("found", F.lit(0.0), lambda s, x: s + x.value) / F.size("found")
     row = F.floor(F.col("query") / len(cols)).cast("long")
     values = filled.select(row.alias("_row"), (F.col("query") % len(cols)).alias("_dim"), mean.alias("_mean"))

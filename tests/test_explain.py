@@ -213,6 +213,20 @@ def test_impute_knn_equals_brute_force(spark, block_rows, crowded):
         assert [r.p, r.q, r.r] == pytest.approx(want, abs=1e-9)
 
 
+def test_impute_knn_asks_few_blocks_and_equal_questions_once(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, *(rng.random() if i % 3 else None for _ in range(2)), rng.random() if i % 40 else float(i % 2)) for i in range(2000)]
+    opened = []
+    best = Nb.Index._best
+    monkeypatch.setattr(Nb.Index, "_best", lambda self, asked, k: best(self, opened.append(asked.select("query").collect()) or asked, k))
+    out = Nb.impute_knn(spark.createDataFrame(rows, "id long, a double, b double, c double"), ["a", "b", "c"], [F.col("id")], block_rows=16)
+    assert out.where("a is null or b is null").isEmpty()
+    different = len({r[3] for r in rows if r[1] is None})
+    first, second = opened
+    assert len(first) == 2 * different                      # rows of equal values ask once for each missing dimension
+    assert len(second) <= 4 * len(first)                    # ordered by c, not by all three
+
+
 def test_impute_knn_of_awkward_columns(spark):
     df = spark.createDataFrame([(1, None, 1.0), (2, None, float("nan")), (3, None, 3.0)], "id long, p double, q double")
     assert [(r.p, r.q) for r in sorted(Nb.impute_knn(df, ["p", "q"], [F.col("id")]).collect())] == [(None, 1.0), (None, 2.0), (None, 3.0)]
