@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tabvet.functions.core import nan_to_null
 from tabvet.operators.longform import row_numbers
-from tabvet.session import checkpoint_dir, materialize
+from tabvet.session import checkpoint_dir
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -66,10 +66,10 @@ def permuted_rows(df: DataFrame, features: list[str], keep: list[str], order: li
     to one."""
     cols = list(dict.fromkeys([*keep, *features]))
     keyed = df.select(*cols, *[o.alias(f"_k{i}") for i, o in enumerate(order)], *[s.alias(f"_s{r}") for r, s in enumerate(shuffles)])
-    numbered = materialize(row_numbers(keyed, [F.col(f"_k{i}") for i in range(len(order))], "_row"))
+    numbered = row_numbers(keyed, [F.col(f"_k{i}") for i in range(len(order))], "_row", [*cols, *[f"_s{r}" for r in range(len(shuffles))]])
     others = None
     for r in range(len(shuffles)):
-        other = row_numbers(numbered.select(*features, "_row", f"_s{r}"), [F.col(f"_s{r}"), F.col("_row")], "_at")
+        other = row_numbers(numbered.select(*features, "_row", f"_s{r}"), [F.col(f"_s{r}"), F.col("_row")], "_at", features)
         other = other.select(F.lit(r).alias("repeat"), F.col("_at"), *[F.col(c).alias(f"other_{c}") for c in features])
         others = other if others is None else others.unionByName(other)
     rows = numbered.select(*cols, "_row")
@@ -291,22 +291,35 @@ def counterfactuals(score: Scorer, df: DataFrame, features: list[str], keys: lis
     success false and a NULL cost.
 
     The lattice is a literal whose size the parameters fix: rows are expanded where they lie, scored as a stream and
-    reduced on the map side, so a task holds the best candidate of a row, not its candidates. Keys need not be unique."""
+    reduced on the map side, so a task holds the best candidate of a row, not its candidates. The order of preference is
+    fixed as well, so the best one is the smallest of plain numbers, which needs no sort. Keys need not be unique."""
     candidates = lattice(features, steps or [-2.0, -1.0, -0.5, 0.5, 1.0, 2.0], most)
     x = df.select(*keys, *[F.coalesce(nan_to_null(F.col(c)), F.lit(0.0)).alias(c) for c in features])
     if scale is None:
         stats = x.agg(*[F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(c) for c in features]).first()
         scale = {c: float(stats[c]) for c in features}
     own = score(x).withColumnRenamed("prediction", "original_class").withColumn("_id", F.monotonically_increasing_id())
+    costs = [float(sum(abs(s) for s in move.values())) for move in candidates]
+    size, preferred = len(candidates), sorted(range(len(candidates)), key=lambda i: (costs[i], i))
     options = F.array(*[
-        F.struct(F.lit(i).alias("candidate"), F.lit(float(sum(abs(s) for s in move.values()))).alias("cost"),
+        F.struct(F.lit(i).alias("candidate"), F.lit(preferred.index(i)).alias("place"),
                  *[(F.col(c) + F.lit(move.get(c, 0.0) * scale[c])).alias(c) for c in features])
         for i, move in enumerate(candidates)])
-    given = own.select("_id", *keys, "original_class", F.explode(options).alias("o")).select("_id", *keys, "original_class", "o.*")
+    kept = ["_id", *keys, "original_class", *[f"_x_{c}" for c in features]]
+    own = own.withColumns({f"_x_{c}": F.col(c) for c in features})
+    given = own.select(*kept, F.explode(options).alias("o")).select(*kept, "o.*")
     scored = score(given)
     reached = F.col("prediction") == F.lit(float(desired)) if desired is not None else F.col("prediction") != F.col("original_class")
-    rank = F.struct((~reached).alias("missed"), F.when(reached, F.col("cost")).otherwise(0.0).alias("cost"), "candidate")
-    best = scored.groupBy("_id", *keys, "original_class").agg(F.min_by(F.struct("prediction", "cost", "candidate", reached.alias("hit"), *features), rank).alias("b"))
-    return best.select(*keys, "original_class", F.col("b.prediction").alias("achieved_class"), F.col("b.hit").alias("success"),
-                       F.when(F.col("b.hit"), F.col("b.cost")).alias("cost"), F.col("b.candidate").alias("candidate"),
-                       *[F.col(f"b.{c}").alias(f"cf_{c}") for c in features])
+    # unknown, then reached by cost, then missed; candidates in order where the cost does not count
+    code = F.when(reached, F.col("place")).when(~reached, F.col("candidate") + size).otherwise(F.col("candidate") - size)
+    best = scored.withColumn("_code", code).groupBy(*kept).agg(F.min("_code").alias("_code"), F.min_by("prediction", "_code").alias("_class"))
+    every = list(range(size))
+
+    def of(values: list) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in values]), F.col("candidate") + 1)
+
+    best = best.withColumn("candidate", F.element_at(F.array(*[F.lit(i) for i in [*every, *preferred, *every]]), F.col("_code") + size + 1))
+    hit = F.when(F.col("_code") >= 0, F.col("_code") < size)
+    return best.select(*keys, "original_class", F.col("_class").alias("achieved_class"), hit.alias("success"),
+                       F.when(hit, of(costs)).alias("cost"), "candidate",
+                       *[(F.col(f"_x_{c}") + of([move.get(c, 0.0) * scale[c] for move in candidates])).alias(f"cf_{c}") for c in features])

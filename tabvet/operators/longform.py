@@ -135,17 +135,19 @@ def top_k_per_key(df: DataFrame, key: str | list[str], order: list[Column], k: i
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
-def row_numbers(df: DataFrame, order: list[Column], name: str = "row") -> DataFrame:
-    """df with `name`, dense numbers from 0 in the given order, equal rows of the order in any order.
+def row_numbers(df: DataFrame, order: list[Column], name: str = "row", keep: list[str] | None = None) -> DataFrame:
+    """df (its columns `keep`) with `name`, dense numbers from 0 in the given order, equal rows of the order in any order.
 
-    A range sort deals the rows out; each range is numbered by itself and offset by the rows of the ranges before it
-    (a table of one row a range, so small enough to broadcast). No task sees more than one range."""
+    A range sort deals the rows out, once; a row's place in its range is stored with it and offset by the rows of the
+    ranges before it (a table of one row a range, so small enough to broadcast). No task sees more than one range."""
     parts = default_buckets(df.sparkSession)
     dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *order, F.col("_tie"))
-    dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()))
+    # in a sorted range the number is the range and, in the low 33 bits, the place
+    dealt = dealt.sortWithinPartitions(*order, F.col("_tie")).select(*(keep or df.columns), F.monotonically_increasing_id().alias("_at_range"))
+    dealt = materialize(dealt).withColumn("_part", F.shiftright("_at_range", 33))
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offset = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order, "_tie"))
-    placed = dealt.withColumn("_place", local).join(F.broadcast(offset), "_part")
-    return placed.withColumn(name, F.col("_place") + F.col("_before") - 1).drop("_tie", "_part", "_place", "_before")
+    place = F.col("_at_range").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = dealt.join(F.broadcast(offset), "_part")
+    return placed.withColumn(name, place + F.col("_before")).drop("_at_range", "_part", "_before")

@@ -43,6 +43,22 @@ def test_row_numbers_are_dense_and_ordered(spark):
     assert row_numbers(spark.createDataFrame([], "id long, k int"), [F.col("k")]).count() == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_row_numbers_shuffle_once_and_store_what_is_kept(spark):
+    df = spark.range(300).select("id", (F.col("id") % 5).alias("k"), F.lit("x").alias("v"))
+    got = row_numbers(df, [F.col("k"), F.col("id")], "row", ["v"])
+    assert got.columns == ["v", "row"] and sorted(r["row"] for r in got.collect()) == list(range(300))
+    assert plan_of(got).count("Window") <= 2 and "row_number()" not in plan_of(got)  # the rows are not dealt out by range again
+
+
+def test_counterfactuals_need_no_sort(table):
+    score = X.linear_scorer({"a": 1.0, "b": -0.5}, 0.1, 0.0)
+    assert "SortAggregate" not in plan_of(X.counterfactuals(score, table, ["a", "b"], ["id"]))
+
+
 def test_each_shuffled_column_is_a_permutation(table):
     rows = X.permuted_rows(table, ["a", "b"], ["id"], [F.col("id")], [F.xxhash64("id", F.lit(r)) for r in range(3)]).collect()
     want = sorted((r.a, r.b) for r in table.collect())
