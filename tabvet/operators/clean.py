@@ -208,6 +208,30 @@ def _grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int):
     return np.array(feat), np.array(thr), np.array(left), np.array(right), np.array(size)
 
 
+def _walk(tree: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """A tree as (feature, threshold, next node at 2 * node + goes left, path length at a leaf, levels); a leaf leads to itself."""
+    feat, at = tree["feat"].to_numpy(), np.arange(len(tree))
+    leaf = feat < 0
+    nexts = np.stack([np.where(leaf, at, tree["right"]), np.where(leaf, at, tree["left"])], axis=1).reshape(-1).astype(np.intp)
+    depth = np.zeros(len(tree))
+    for i in at[~leaf]:  # parents come before their children
+        depth[nexts[2 * i: 2 * i + 2]] = depth[i] + 1
+    length = depth + np.array([_c_factor(s) for s in tree["size"]])
+    return np.where(leaf, 0, feat).astype(np.intp), tree["thr"].to_numpy(float), nexts, length, int(depth.max())
+
+
+def path_lengths(x: np.ndarray, forest: list) -> np.ndarray:
+    """Sum over the trees of each row's path length: all rows of a batch step down one level at a time."""
+    total, flat, first = np.zeros(len(x)), np.ascontiguousarray(x).reshape(-1), np.arange(len(x)) * x.shape[1]
+    for feat, thr, nexts, length, levels in forest:
+        node = np.zeros(len(x), dtype=np.intp)
+        for _ in range(levels):
+            left = flat.take(first + feat.take(node)) < thr.take(node)
+            node = nexts.take(2 * node + left)
+        total += length.take(node)
+    return total
+
+
 def isolation_forest(df: DataFrame, cols: list[str] | None = None, n_trees: int = 100, max_samples: int = 256,
                      contamination: float = 0.1, seed: int = 42, key: list[str] | None = None) -> DataFrame:
     """Adds `anomaly_score` (0..1, 1 = most anomalous) and `anomaly_label` (ANOMALY / NORMAL).
@@ -252,11 +276,7 @@ def isolation_forest(df: DataFrame, cols: list[str] | None = None, n_trees: int
 
     schema = "tree long, node long, feat long, thr double, left long, right long, size long, n_sub long"
     nodes = samp.groupBy("tree").applyInPandas(grow, schema).toPandas()   # <= n_trees x (2 psi - 1) rows
-    forest = []
-    for t, g in nodes.groupby("tree"):
-        g = g.sort_values("node")
-        depth_adj = np.array([_c_factor(s) for s in g["size"]])
-        forest.append((g["feat"].to_numpy(), g["thr"].to_numpy(), g["left"].to_numpy(), g["right"].to_numpy(), depth_adj))
+    forest = [_walk(g.sort_values("node")) for _, g in nodes.groupby("tree")]
     c_n = _c_factor(float(nodes.groupby("tree")["n_sub"].first().mean()))
     bc = spark.sparkContext.broadcast(forest)
 
@@ -264,19 +284,7 @@ def isolation_forest(df: DataFrame, cols: list[str] | None = None, n_trees: int
         fr = bc.value
         for pdf in batches:
             x = pdf[zc].to_numpy(dtype=float)
-            tot = np.zeros(len(x))
-            rows = np.arange(len(x))
-            for f, th, le, ri, adj in fr:
-                nd = np.zeros(len(x), dtype=np.int64)
-                depth = np.zeros(len(x))
-                active = f[nd] >= 0
-                while active.any():
-                    a = rows[active]
-                    go_left = x[a, f[nd[a]]] < th[nd[a]]
-                    nd[a] = np.where(go_left, le[nd[a]], ri[nd[a]])
-                    depth[a] += 1
-                    active = f[nd] >= 0
-                tot += depth + adj[nd]
+            tot = path_lengths(x, fr)
             s = np.power(2.0, -(tot / len(fr)) / c_n) if c_n > 0 else np.full(len(x), 0.5)
             out = pdf.drop(columns=zc + ["_h"])
             out["_s"] = s
