@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabvet.functions.core import nan_to_null, numeric_cols
-from tabvet.operators.colstats import column_stats
-from tabvet.operators.longform import quantiles_wide
-from tabvet.operators.profile import mode_values
+from tabvet.operators.colstats import column_stats, distinct_table, number_counts
+from tabvet.operators.longform import quantiles_from_counts
 
 
 # ------------------------------------------------------------------ D2
@@ -20,10 +19,12 @@ def describe_all(df: DataFrame) -> DataFrame:
     quartiles / max for numeric columns."""
     num = numeric_cols(df)
     oth = [c for c in df.columns if c not in num]
-    st = column_stats(df).select("column", "position", "n_rows", "n_null", "n_distinct", "mean", "std", "min", "max")
-    q = quantiles_wide(df, num, [0.25, 0.5, 0.75]).groupBy("column").pivot("prob", [0.25, 0.5, 0.75]) \
+    table = distinct_table(df, df.columns)  # of every column: distinct counts, quartiles and modes come from it
+    st = column_stats(df, table=table).select("column", "position", "n_rows", "n_null", "n_distinct", "mean", "std", "min", "max")
+    q = quantiles_from_counts(number_counts(table), [0.25, 0.5, 0.75]).groupBy("column").pivot("prob", [0.25, 0.5, 0.75]) \
         .agg(F.first("quantile")).toDF("column", "q25", "q50", "q75") if num else None
-    m = mode_values(df, oth) if oth else None
+    most = F.min(F.struct((-F.col("n")).alias("n"), F.col("t").alias("mode"))).alias("m")
+    m = table.where(F.col("column").isin(oth)).groupBy("column").agg(most).select("column", "m.mode", (-F.col("m.n")).alias("mode_count")) if oth else None
     t = st
     if q is not None:
         t = t.join(q, "column", "left")
