@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tabvet.functions.core import nan_to_null, numeric_cols
 from tabvet.functions.stats import chi2_sf, kolmogorov_sf
 from tabvet.operators.colstats import column_stats
-from tabvet.operators.longform import exact_quantiles, running_totals, unpivot
+from tabvet.operators.longform import quantiles_from_counts, running_totals, unpivot
+from tabvet.session import materialize
 
 
 def _two_sided_counts(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
@@ -25,10 +26,11 @@ def _two_sided_counts(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFr
         F.sum((F.col("_side") == 1).cast("long")).alias("n_cur"))
 
 
-def ecdf_frame(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, value, F_ref, F_cur, next_value, n_ref_total, n_cur_total) at every distinct value."""
-    vc = _two_sided_counts(ref, cur, cols)
-    rt = running_totals(vc, ["column"], "value", ["n_ref", "n_cur"], with_next=True)
+def ecdf_frame(ref: DataFrame, cur: DataFrame, cols: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """(column, value, F_ref, F_cur, next_value, n_ref_total, n_cur_total) at every distinct value; counts is the stored
+    table of `_two_sided_counts`, if it is there already."""
+    vc = _two_sided_counts(ref, cur, cols) if counts is None else counts
+    rt = running_totals(vc, ["column"], "value", ["n_ref", "n_cur"], with_next=True, checkpoint=counts is None)
     return rt.select("column", "value", "next_value",
                      (F.col("cum_n_ref") / F.col("tot_n_ref")).alias("F_ref"),
                      (F.col("cum_n_cur") / F.col("tot_n_cur")).alias("F_cur"),
@@ -36,13 +38,13 @@ def ecdf_frame(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def ks_test(ref: DataFrame, cur: DataFrame, cols: list[str] | None = None, alpha: float = 0.05,
-            min_n: int = 10) -> DataFrame:
+            min_n: int = 10, counts: DataFrame | None = None) -> DataFrame:
     """G1: two-sample KS statistic and asymptotic p per numeric column; drifted if p < alpha.
 
     Columns with fewer than `min_n` values on either side are skipped (as in the reference).
     """
     cols = cols or [c for c in numeric_cols(ref) if c in cur.columns]
-    e = ecdf_frame(ref, cur, cols)
+    e = ecdf_frame(ref, cur, cols, counts)
     ks = e.groupBy("column").agg(F.max(F.abs(F.col("F_ref") - F.col("F_cur"))).alias("ks_stat"),
                                  F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur"))
     en = F.sqrt(F.col("n_ref") * F.col("n_cur") / (F.col("n_ref") + F.col("n_cur")))
@@ -154,10 +156,10 @@ def chi_square_drift(ref: DataFrame, cur: DataFrame, col: str, with_p: bool = Tr
     return s.drop("tot_e")
 
 
-def quantile_edges(ref: DataFrame, cols: list[str], bins: int = 10) -> DataFrame:
-    """(column, edges array) -- unique exact reference quantiles at 0, 1/bins, ..., 1."""
+def quantile_edges(counts: DataFrame, bins: int = 10) -> DataFrame:
+    """(column, edges array) -- unique exact quantiles at 0, 1/bins, ..., 1 of the values counted in (column, value, n)."""
     probs = [i / bins for i in range(bins + 1)]
-    q = exact_quantiles(unpivot(ref, cols), probs)
+    q = quantiles_from_counts(counts, probs)
     return q.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("prob", "quantile"))).alias("_q")) \
         .select("column", F.array_distinct(F.transform("_q", lambda s: s["quantile"])).alias("edges"))
 
@@ -170,18 +172,21 @@ def edge_bin(x: Column, edges: Column) -> Column:
             .when(x == F.element_at(edges, -1), nb - 1).otherwise(idx))
 
 
-def psi_quantile(ref: DataFrame, cur: DataFrame, cols: list[str] | None = None, bins: int = 10, eps: float = 1e-8) -> DataFrame:
-    """PSI on reference-quantile bins; out-of-range values dropped; shares clipped at eps."""
-    cols = cols or [c for c in numeric_cols(ref) if c in cur.columns]
-    edges = F.broadcast(quantile_edges(ref, cols, bins))   # one row per column, <= bins+1 edges
+def psi_quantile(ref: DataFrame, cur: DataFrame, cols: list[str] | None = None, bins: int = 10, eps: float = 1e-8,
+                 counts: DataFrame | None = None) -> DataFrame:
+    """PSI on reference-quantile bins; out-of-range values dropped; shares clipped at eps.
 
-    def counts(df, name):
-        return unpivot(df, cols).join(edges, "column").withColumn("bin", edge_bin(F.col("value"), F.col("edges"))) \
-            .where(F.col("bin").isNotNull()).groupBy("column", "bin").agg(F.count(F.lit(1)).alias(name))
+    Edges and bins come from the values' counts on both sides (`counts`, else made and stored here): a value is binned
+    once, however many rows have it."""
+    cols = cols or [c for c in numeric_cols(ref) if c in cur.columns]
+    table = materialize(_two_sided_counts(ref, cur, cols)) if counts is None else counts
+    edges = F.broadcast(quantile_edges(table.where("n_ref > 0").select("column", "value", F.col("n_ref").alias("n")), bins))   # one row per column, <= bins+1 edges
+    binned = table.join(edges, "column").withColumn("bin", edge_bin(F.col("value"), F.col("edges"))).where(F.col("bin").isNotNull())
+    by_bin = binned.groupBy("column", "bin").agg(F.sum("n_ref").alias("r"), F.sum("n_cur").alias("c"))
 
     grid = edges.select("column", F.explode(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))).alias("bin"),
                         (F.size("edges") >= 2).alias("ok"))
-    j = grid.join(counts(ref, "r"), ["column", "bin"], "left").join(counts(cur, "c"), ["column", "bin"], "left").fillna(0, ["r", "c"])
+    j = grid.join(by_bin, ["column", "bin"], "left").fillna(0, ["r", "c"])
     w = Window.partitionBy("column")
     j = j.select("column", "bin", "ok",
                  F.greatest(F.col("r") / F.greatest(F.sum("r").over(w), F.lit(1)), F.lit(eps)).alias("rp"),
@@ -226,8 +231,9 @@ def drift_suite(ref: DataFrame, cur: DataFrame, cols: list[str] | None = None) -
     """KS mean/max (detect > 0.15), PSI mean/max (detect > 0.1) on the real baseline rows,
     overall = mean(min(KS mean, 1), min(PSI mean / 10, 1)), drift detected > 0.3."""
     cols = cols or [c for c in numeric_cols(ref) if c in cur.columns]
-    ks = ks_test(ref, cur, cols, min_n=1).agg(F.avg("ks_stat").alias("ks_mean"), F.max("ks_stat").alias("ks_max"))
-    ps = psi_quantile(ref, cur, cols).agg(F.avg("psi").alias("psi_mean"), F.max("psi").alias("psi_max"))
+    counts = materialize(_two_sided_counts(ref, cur, cols))  # both measures read it
+    ks = ks_test(ref, cur, cols, min_n=1, counts=counts).agg(F.avg("ks_stat").alias("ks_mean"), F.max("ks_stat").alias("ks_max"))
+    ps = psi_quantile(ref, cur, cols, counts=counts).agg(F.avg("psi").alias("psi_mean"), F.max("psi").alias("psi_max"))
     j = ks.crossJoin(ps)
     overall = (F.least(F.col("ks_mean"), F.lit(1.0)) + F.least(F.col("psi_mean") / 10, F.lit(1.0))) / 2
     return j.select("ks_mean", "ks_max", (F.col("ks_mean") > 0.15).alias("ks_drift"), "psi_mean", "psi_max",
