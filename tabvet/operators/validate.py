@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from tabvet.functions.core import categorical_cols, numeric_cols
 from tabvet.operators.colstats import column_stats
 from tabvet.operators.infer import categorize_columns
+from tabvet.session import materialize
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -184,9 +185,11 @@ def stratified_flag(df: DataFrame, strata: list[str], fraction: float, order: Co
     `xxhash64(key, seed)`; ties by the remaining columns).
 
     No window spans a whole stratum: `order` is bucketed, a partial-aggregated histogram per
-    (stratum, bucket) finds the bucket where each stratum's quota is crossed, rows below that
-    bucket are flagged outright, and only the boundary bucket (about 1/n_buckets of the
-    stratum) is ranked with a window. A hot stratum therefore costs one bucket-sized sort.
+    (stratum, bucket) tells how many rows of each bucket the quota takes, buckets that it takes
+    whole or not at all are flagged outright, and only the boundary bucket (about 1/n_buckets of
+    the stratum) is ranked with a window. A hot stratum therefore costs one bucket-sized sort.
+    The histogram is stored, so its size is known: a small one is broadcast and the rows stay where
+    they are; else rows meet it by stratum and bucket. No task gathers a stratum.
     """
     from pyspark.sql.window import Window
     o = df.withColumn("_o", order)
@@ -200,14 +203,15 @@ def stratified_flag(df: DataFrame, strata: list[str], fraction: float, order: Co
     # histogram rows are (strata x n_buckets) at most: the windows are over counts, not rows
     cum = hist.withColumn("_cum", F.sum("_n").over(w)).withColumn(
         "_quota", F.round(F.sum("_n").over(Window.partitionBy(*strata)) * F.lit(fraction)).cast("long"))
-    edge = cum.where((F.col("_cum") >= F.col("_quota")) & (F.col("_cum") - F.col("_n") < F.col("_quota"))).select(
-        *[F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)], F.col("_b").alias("_edge"),
-        (F.col("_quota") - (F.col("_cum") - F.col("_n"))).alias("_need"))
+    takes = materialize(cum.select(
+        *[F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)], F.col("_b").alias("_bucket"), F.col("_n").alias("_of"),
+        (F.col("_quota") - (F.col("_cum") - F.col("_n"))).alias("_need")))
     same = [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(strata)]     # a NULL stratum is a stratum
-    j = ob.join(edge, same, "left").drop(*[f"_s{i}" for i in range(len(strata))])   # strata-sized; AQE broadcasts it when small
-    at_edge = F.col("_edge").isNotNull() & (F.col("_b") == F.col("_edge"))
-    rest = j.where(~at_edge).withColumn(flag, F.coalesce(F.col("_b") < F.col("_edge"), F.lit(False)))
-    rk = Window.partitionBy(*strata).orderBy("_o", *[c for c in df.columns if c not in strata])
+    j = ob.join(takes, [*same, F.col("_b") == F.col("_bucket")], "left").drop(*[f"_s{i}" for i in range(len(strata))])
+    at_edge = F.coalesce((F.col("_need") > 0) & (F.col("_need") < F.col("_of")), F.lit(False))
+    rest = j.where(~at_edge).withColumn(flag, F.coalesce(F.col("_need") >= F.col("_of"), F.lit(False)))
+    # a stratum has one boundary bucket at most, so ranks within (stratum, bucket) are ranks within it
+    rk = Window.partitionBy(*strata, "_b").orderBy("_o", *[c for c in df.columns if c not in strata])
     at = j.where(at_edge).withColumn(flag, F.row_number().over(rk) <= F.col("_need"))
     return rest.unionByName(at).select(*df.columns, flag)
 

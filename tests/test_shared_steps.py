@@ -1,5 +1,7 @@
 """Steps that several queries share: one pass where there were many, with the same results."""
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from tabvet.operators import drift as G
 from tabvet.operators import ensemble as En
 from tabvet.operators import longform
 from tabvet.operators import train as I
+from tabvet.operators import validate as B
 
 
 def test_path_lengths_equal_a_walk_row_by_row():
@@ -59,3 +62,17 @@ def test_folds_of_elimination_lie_in_even_files(spark, monkeypatch):
 
     assert En.rfe(df, ["a", "b"], F.col("a") * 2, ["k"], n=1, importance=importance).count() == 2
     assert max(largest) <= 130
+
+
+def test_split_gathers_no_stratum_in_a_task(spark):
+    df = spark.range(6000).select((F.col("id") % 3000).alias("id"), F.when(F.col("id") % 5 > 0, "hot").alias("s"))
+    order = F.pmod(F.col("id") * 7919, F.lit(251))
+    for buckets in (1, 40, 1024):
+        out = B.stratified_flag(df, ["s"], 0.2, order, "f", buckets)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert all("_b#" in x for x in re.findall(r"hashpartitioning\((.*?)\)?, \d+\)", plan)), plan
+        got = out.withColumn("o", order).toPandas()
+        assert len(got) == 6000
+        for _, g in got.groupby("s", dropna=False):
+            first = g.sort_values(["o", "id"])["id"].tolist()[: round(0.2 * len(g))]
+            assert sorted(g[g["f"]]["id"]) == sorted(first)
