@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabvet.llm.common import read, text_or_empty
+from tabvet.llm.common import read, slices, text_or_empty
 
 TOKENIZER = "word_bpe_49k.json"
 CACHED = 300_000  # entries of each dictionary of a worker
@@ -168,7 +168,7 @@ def bpe(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
+        for batch in slices(batches, 1):
             n, a, b, kept, texts = [], [], [], [], []
             for text in batch.column(1):
                 ids, decoded = enc.encode(text.as_py())

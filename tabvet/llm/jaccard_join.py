@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from xxhash import xxh3_64_intdigest
 
-from tabvet.llm.common import read, text_or_empty
+from tabvet.llm.common import TEXT_ROWS, read, slices, text_or_empty
 from tabvet.llm.components import star_forest
 from tabvet.session import materialize, release
 
@@ -52,6 +52,7 @@ REPORT = 1 << 16
 GROUP = 64
 FILTER_BITS = 1 << 24
 PART = 1 << 20  # bytes of the queries' sets that meet one copy of a group's sets
+OPEN_ROWS = 32  # of rows with the sets of a group and of `PART` bytes of queries, so many are an Arrow batch
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
@@ -112,6 +113,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         seen: set[bytes] = set()
         chunk: list[np.ndarray] = []
+        held = 0
 
         def report() -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(chunk), return_counts=True) if chunk else (np.zeros(0, np.int64),) * 2
@@ -123,7 +125,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
             none = [pa.nulls(len(n), k) for k in kinds[:3]]
             return pa.RecordBatch.from_arrays([*none, pa.array(tokens, pa.int64()), pa.array(n, pa.int64())], names)
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             classes, digests, sizes = [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py())
@@ -134,12 +136,14 @@ def first_pass(docs: DataFrame) -> DataFrame:
                 if digest not in seen and len(found):
                     seen.add(digest)
                     chunk.append(found)
+                    held += len(found)
+                    if held > CHUNK:
+                        yield report()
+                        held = 0
             if len(seen) > 1 << 18:
                 seen.clear()
             columns = [batch.column(0), pa.array(classes, kinds[1]), pa.array(digests, kinds[2]), pa.nulls(len(sizes), kinds[3]), pa.array(sizes, kinds[4])]
             yield pa.RecordBatch.from_arrays(columns, names)
-            if sum(map(len, chunk)) > CHUNK:
-                yield report()
         yield report()
 
     return docs.mapInArrow(run, "doc_id long, class long, digest binary, token long, n long")
@@ -161,7 +165,7 @@ def prefix_rows(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches, 1):
             tokens, classes, sizes = [np.zeros(0, np.int64)], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py())
@@ -193,7 +197,7 @@ def sets_of(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             h = batch.column(2).to_numpy()
             there = np.flatnonzero(shared.value[h // 32] >> (h % 32).astype(np.uint32) & np.uint32(1))
             sets = [s for s in (shingles(batch.column(1)[int(i)].as_py()) for i in there) if len(s)]
@@ -275,7 +279,7 @@ def similar_groups(classes: DataFrame, stars: DataFrame, pairs: DataFrame) -> Da
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    first = materialize(first_pass(texts))
+    first = materialize(first_pass(texts), TEXT_ROWS)
     members = first.where("token is null").select("doc_id", "class", "digest", "n")
     clash = members.groupBy("class").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b")
     if not clash.isEmpty():
@@ -285,13 +289,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     every = Window.partitionBy("token")
     rows = prefix_rows(texts, heavy).withColumn("a", F.min("class").over(every)).withColumn("b", F.max("class").over(every))
     rows = rows.where("a < b").groupBy("token", "class").agg(F.first("n").alias("n"))
-    rows = materialize(rows.withColumn("df", F.count(F.lit(1)).over(every)))
+    rows = materialize(rows.withColumn("df", F.count(F.lit(1)).over(every)), TEXT_ROWS)
 
     # groups of similar documents: stars of verified links around hubs
     pairs = materialize(hub_pairs(rows))
-    sets = materialize(sets_of(texts, members, pairs.select(F.col("q").alias("class")).union(pairs.select("s"))))
+    sets = materialize(sets_of(texts, members, pairs.select(F.col("q").alias("class")).union(pairs.select("s"))), TEXT_ROWS)
     alone = sets.select(F.col("class").alias("s"), F.array(F.struct("class", "tokens")).alias("members"))
-    links = materialize(opened(with_sets(pairs, sets, alone)))
+    links = materialize(opened(with_sets(pairs, sets, alone)), OPEN_ROWS)
     release(sets)
     stars = star_forest(links)
 
@@ -313,9 +317,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     release(matrix)
 
     open_groups = grouped.join(met.select("s").distinct(), "s", "left_semi").select("s", "class")
-    sets = materialize(sets_of(texts, members, met.select(F.col("q").alias("class")).union(open_groups.select("class"))))
+    sets = materialize(sets_of(texts, members, met.select(F.col("q").alias("class")).union(open_groups.select("class"))), TEXT_ROWS)
     inside = open_groups.join(sets.select("class", "tokens"), "class").groupBy("s").agg(F.collect_list(F.struct("class", "tokens")).alias("members"))
-    found = materialize(opened(with_sets(met, sets, inside)))
+    found = materialize(opened(with_sets(met, sets, inside)), OPEN_ROWS)
     release(sets)
     roots = star_forest(stars.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
 

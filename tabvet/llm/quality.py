@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabvet.llm.common import fold, read, text_or_empty
+from tabvet.llm.common import TEXT_ROWS, fold, read, slices, text_or_empty
 from tabvet.session import materialize
 
 FOLDS = 5
@@ -64,7 +64,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
     """doc_id, features for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = pa.array([features(t.as_py()) for t in batch.column(1)], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["doc_id", "features"])
 
@@ -141,7 +141,7 @@ def fit(table: DataFrame, labels: DataFrame) -> tuple[Bins | None, np.ndarray, f
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs(doc_id, text); labels(doc_id, quality) teach."""
-    table = materialize(feature_table(docs))
+    table = materialize(feature_table(docs), TEXT_ROWS)
     bins, w, prior = fit(table, labels.select(F.col("doc_id").cast("long"), "quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,12 +160,12 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs(doc_id, text, ...) whose text scores at least `threshold`, all columns as they are."""
-    table = materialize(feature_table(docs))
+    table = materialize(feature_table(docs), TEXT_ROWS)
     bins, w, prior = fit(table, labels.select(F.col("doc_id").cast("long"), "quality"))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             good = np.full(batch.num_rows, prior >= threshold)
             if bins is not None and batch.num_rows:
                 rows = np.stack([features(t.as_py() or "") for t in batch.column(at)])

@@ -6,11 +6,15 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tabvet.llm import common
 from tabvet.llm import jaccard_join as J
 from tabvet.llm import vector_search as V
+from tabvet.llm.common import read
 from tabvet.llm.components import star_forest
+from tabvet.session import ARROW_ROWS, materialize
 
 from .data import documents, nothing
 
@@ -234,3 +238,44 @@ def test_pipeline_keeps_one_row_of_each_text(spark):
     apart = Counter((r.doc_id, r.text) for r in P.without_near_copies(spark, docs, "").collect())
     assert sum(apart.values()) == 7 and apart[5, a] == apart[3, b] == apart[9, c] == apart[None, None] == apart[12, ""] == 1
     assert apart[None, d] + apart[None, " ".join(near)] == 1 and apart[11, "x y z"] + apart[11, "x  y z"] == 1
+
+
+def test_python_steps_hold_few_texts_and_sets(spark, sf, monkeypatch):
+    asked = []
+
+    def noted(df, arrow_rows=None):
+        if "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString():
+            asked.append(arrow_rows)
+        return materialize(df, arrow_rows)
+
+    monkeypatch.setattr(J, "materialize", noted)
+    J.jaccard_components(read(spark, sf, "documents").limit(60)).count()
+    assert asked and all(x and x <= 1_000 for x in asked)
+
+
+def test_a_report_counts_a_bounded_chunk(spark, monkeypatch):
+    docs = spark.range(40, numPartitions=1).selectExpr("id AS doc_id", "concat('same words in every single text ', id) AS text")
+    monkeypatch.setattr(J, "CHUNK", 1)  # each text is a chunk: nothing repeats in it
+    assert J.first_pass(docs).where("token is not null").isEmpty()
+    monkeypatch.setattr(J, "CHUNK", 1 << 21)
+    assert not J.first_pass(docs).where("token is not null").isEmpty()
+
+
+def test_slices_lose_nothing_and_stay_small(monkeypatch):
+    monkeypatch.setattr(common, "SLICE", 10)
+    for texts in ([], [None], ["a" * 25], ["abc", None, "d" * 40, "", "ef", "ghi", "j" * 9, "k"]):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["i", "t"])
+        cut = list(common.slices(iter([batch]), 1))
+        assert [r for b in cut for r in b.to_pylist()] == batch.to_pylist()
+        sizes = [[len(t or "") for t in b.column(1).to_pylist()] for b in cut]
+        assert all(sum(x) - max(x, default=0) <= 10 for x in sizes)
+
+
+def test_arrow_rows_hold_while_a_table_is_written(spark):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    before = spark.conf.get(ARROW_ROWS)
+    out = materialize(spark.range(10, numPartitions=1).mapInArrow(run, "n long"), 3)
+    assert sorted(r.n for r in out.collect()) == [1, 3, 3, 3] and spark.conf.get(ARROW_ROWS) == before
