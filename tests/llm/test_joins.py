@@ -14,6 +14,7 @@ from tabvet.llm import jaccard_join as J
 from tabvet.llm import vector_search as V
 from tabvet.llm.common import read
 from tabvet.llm.components import star_forest
+from tabvet.llm.exact_dedup import exact_dedup
 from tabvet.session import ARROW_ROWS, materialize
 
 from .data import documents, nothing
@@ -240,6 +241,25 @@ def test_pipeline_keeps_one_row_of_each_text(spark):
     assert apart[None, d] + apart[None, " ".join(near)] == 1 and apart[11, "x y z"] + apart[11, "x  y z"] == 1
 
 
+def test_pipeline_asks_exact_dedup_about_every_row(spark, monkeypatch):
+    """The dedup stage runs the operator on all rows; ties of one id go to the normalised text, then to smaller values."""
+    import corpus_pipeline as P
+
+    asked = []
+
+    def noted(docs):
+        asked.append([r.text for r in docs.select("text").collect()])
+        return exact_dedup(docs)
+
+    monkeypatch.setattr(P, "exact_dedup", noted, raising=False)
+    rows = [(1, "a  b", "aa", "s", 0), (1, "a b", "zz", "s", 9), (1, "a b", "yy", "s", 8), (1, "a b", None, "s", 9), (None, "a b", "aa", "s", 0),
+            (None, "c\nd", "en", "s", 4), (None, "c\td", "en", "s", 5), (None, "c\td", "en", "s", 5), (2, "e", "en", "s", 1), (2, "f", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = [tuple(r) for r in P.without_copies(spark, docs, "").collect()]
+    assert Counter(out) == Counter([(1, "a b", None, "s", 9), (None, "c\td", "en", "s", 5), (2, "e", "en", "s", 1), (2, "f", "en", "s", 1)])
+    assert len(asked) == 1 and Counter(asked[0]) == Counter(r[1] for r in rows)
+
+
 def test_python_steps_hold_few_texts_and_sets(spark, sf, monkeypatch):
     asked = []
 
