@@ -47,3 +47,32 @@ def test_folds_are_made_once_for_all_models(counted, monkeypatch):
     calls.value = 0
     assert len(I.tune(df, ["a", "b"], "y", ["k"], 3, {"numTrees": [2], "maxDepth": [2, 3]}).collect()) == 2
     assert calls.value <= 600
+
+
+def test_tournament_searches_every_family(spark, monkeypatch):
+    asked = []
+
+    def scored(name, d, features, target, k, metric, params=None):
+        asked.append((name, *sorted((params or {}).items())))
+        good = 0.9 if name == "MLP" and params == {"hidden": 8} else 0.5
+        return spark.createDataFrame([(name, f, good) for f in range(k)], "model string, fold int, score double")
+
+    monkeypatch.setattr(I, "_fold_scores", scored)
+    rows = spark.createDataFrame([(i, float(i % 5), "xyz"[i % 3]) for i in range(30)], "k int, a double, y string")
+    got = I.tournament(rows, ["a"], "y", ["k"], k=3).collect()
+    assert [r.model for r in got] == ["MLP", "DecisionTree", "GradientBoosting", "LinearSVC", "LogisticRegression", "NaiveBayes", "RandomForest"]
+    assert got[0].params == "hidden=8" and [r["params"] for r in got[1:3]] == ["maxDepth=5", "maxDepth=5"] and [r["rank"] for r in got] == list(range(1, 8))
+    assert len(asked) == len(set(asked)) == 13
+
+
+def test_settings_reach_each_family(spark):
+    rows = spark.createDataFrame([(float(i % 5), float(i % 7), "xyz"[i % 3]) for i in range(60)], "a double, b double, y string")
+    for name, grid in I.SEARCH.items():
+        param, value = next((p, v[-1]) for p, v in grid.items())
+        if name == "MLP":
+            assert list(I.train(name, rows, ["a", "b"], "y", params={param: value}).stages[-1].getLayers()) == [2, value, 3]
+            continue
+        for classes in (2, 3):
+            found = I.estimator(name, classes, params={param: value})
+            found = found.getClassifier() if hasattr(found, "getClassifier") else found
+            assert found.getOrDefault(param) == value
