@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -20,6 +20,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabvet.operators.forest import CellForestClassifier
 from tabvet.operators.train import _clean, fold_column, stored, train
 from tabvet.operators.longform import exact_quantiles
 from tabvet.session import materialize
@@ -218,7 +219,7 @@ def held_score(out: DataFrame, classes: bool) -> float:
 
 
 def _forest(classes: int | None, trees: int, depth: int, seed: int):
-    kind = RandomForestRegressor if classes is None else RandomForestClassifier
+    kind = RandomForestRegressor if classes is None else CellForestClassifier
     return kind(numTrees=trees, maxDepth=depth, seed=seed)
 
 
